@@ -12,7 +12,7 @@ import heapq
 import numpy as np
 
 END = 0
-HIDDEN, WINDOW, LANES = 16, 24, 512
+HIDDEN, WINDOW, LANES = 12, 16, 1024
 
 
 def fresh(symbols: int, hidden: int = HIDDEN, seed: int = 0) -> dict[str, np.ndarray]:

@@ -30,7 +30,7 @@ from maskmix.llm import gru
 from maskmix.llm.common import documents, save
 
 #: Words with broadcast counts; documents of the network's start; classes: single words, endings, other endings.
-HEAD, WARM, SINGLE, ENDINGS, OTHERS = 1 << 18, 400, 48, 47, 32
+HEAD, WARM, SINGLE, ENDINGS, OTHERS = 1 << 18, 400, 24, 23, 16
 CLASSES = 1 + SINGLE + ENDINGS + OTHERS
 #: Documents taken together, and the learning rates of start and pass.
 CHUNK, WARM_RATE, RATE = 3000, 0.02, 0.004
