@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskmix.llm.common import WORD, documents, save
+from maskmix.llm.common import WORD, documents, let, save
 
 #: Relative rate of consumption at the start and the end of training, by place of the source's weight.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
@@ -90,8 +90,9 @@ def mix(docs: DataFrame, text: str = "text", cap: float = 2.0, **options) -> Dat
     rows = lay_out(sized(docs, text), cap=cap, **options)
     copies = F.array(*[F.struct(position(k).alias("at"), copy_taken(k).alias("words")) for k in range(-int(-cap // 1))])
     rows = rows.withColumn("_copy", F.explode(F.filter(copies, lambda c: c["words"] > 0)))
-    lead = r"concat('^[\\x20\\x09-\\x0D]*+(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){', _copy.words, '}')"
-    cut = F.when(F.col("_copy.words") < F.col("size"), F.expr(f"regexp_extract(`{text}`, {lead}, 0)")).otherwise(F.col(text))
+    # The gaps before the first words and those words, joined again.
+    parts = let(F.struct(F.split(text, WORD).alias("g"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w")), lambda p: F.array_join(F.transform(F.slice(p["w"], 1, F.col("_copy.words").cast("int")), lambda w, k: F.concat(F.get(p["g"], k), w)), ""))
+    cut = F.when(F.col("_copy.words") < F.col("size"), parts).otherwise(F.col(text))
     rows = rows.withColumn(text, cut)
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
