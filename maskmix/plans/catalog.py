@@ -1,4 +1,494 @@
-"""Registered queries and their SQL."""
+"""Registered queries, one or more per operator, each beside the SQL it is held against.
 
-QUERIES: dict = {}
+Sequences are flattened to a row a step, and computed doubles rounded to six digits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskmix.functions import arrays as A
+from maskmix.operators import balance, batch, report, stats
+from maskmix.operators import transforms as X
+from maskmix.operators.split import split
+from maskmix.operators.unify import unify, with_index
+from maskmix.plans import strategies as S
+from maskmix.schema import DatasetSchema, TensorSpec
+from maskmix.sources.tables import read, union_schema, unified
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# Datasets in SQL: an index from 0, and sequences as a row a step.
+_D0 = """o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ix, o_orderkey, o_totalprice AS total, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) - 1 AS priority FROM orders),
+l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS i, l_quantity AS q, l_extendedprice AS e, l_discount AS d, l_tax AS t FROM lineitem),
+c AS (SELECT o.ix, count(l.l_orderkey) AS n FROM o LEFT JOIN l ON o.o_orderkey = l.l_orderkey GROUP BY o.ix)"""
+_D1 = """k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS cls FROM (SELECT DISTINCT event_type FROM events)),
+u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS ix FROM (SELECT DISTINCT user_id FROM events)),
+e AS (SELECT u.ix, row_number() OVER (PARTITION BY u.ix ORDER BY ts, event_id) - 1 AS i, value AS v, k.cls FROM events JOIN u USING (user_id) JOIN k USING (event_type)),
+n AS (SELECT ix, count(*) AS n FROM e GROUP BY ix),
+s AS (SELECT n.ix, g.i, coalesce(e.v, 0::DOUBLE) AS v, e.v IS NOT NULL AS m, coalesce(e.cls, -1) AS cls FROM n CROSS JOIN (SELECT unnest(range(64)) AS i) g LEFT JOIN e ON e.ix = n.ix AND e.i = g.i)"""
+_D2 = """v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ix, embedding, CAST(label AS BIGINT) AS label FROM embeddings),
+x AS (SELECT ix, label, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM v)"""
+_D3 = "d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ix, doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM documents LEFT JOIN labels USING (doc_id))"
+_D4 = """h AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS ix FROM (SELECT DISTINCT conv_id FROM conversations)),
+t AS (SELECT h.ix, row_number() OVER (PARTITION BY h.ix ORDER BY turn) - 1 AS i, CAST(length(text) AS DOUBLE) AS v FROM conversations JOIN h USING (conv_id))"""
+
+
+def _u(*parts: str) -> str:
+    """A keyed uniform in SQL."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def query(name: str, sql: str):
+    def register(f):
+        QUERIES[name], ORACLES[name] = f, sql
+        return f
+
+    return register
+
+
+def steps(df: DataFrame, key: str, *carry: str, width: int | None = None) -> DataFrame:
+    """``carry, i, x, m`` (with ``j`` where steps are vectors)."""
+    rows = df.select(*carry, F.posexplode(F.arrays_zip(F.col(key).alias("x"), F.col(f"{key}_mask").alias("m"))).alias("i", "z")).select(*carry, "i", "z.x", "z.m")
+    return rows.select(*carry, "i", F.posexplode("x").alias("j", "x"), "m") if width else rows
+
+
+def _r(c):
+    return F.round(F.col(c).cast("double") if isinstance(c, str) else c.cast("double"), 6)
+
+
+def _six(sql: str) -> str:
+    return f"round(CAST({sql} AS DOUBLE), 6)"
+
+
+# Unify, coverage, padding.
+
+
+@query(
+    "coverage_valid_fraction",
+    f"""WITH {_D0}, {_D1}, {_D2.replace("v AS", "vv AS").replace("FROM v)", "FROM vv)")}, {_D3}, {_D4},
+    z AS (SELECT * FROM (VALUES ('lines', 6), ('values', 64), ('emb', 1), ('n_chars', 1), ('turn_len', 8), ('total', 1), ('priority', 1), ('etype', 64), ('label', 1), ('quality', 1), ('toxic', 1)) AS z(key, width)),
+    y AS (SELECT 0 AS ds, 'orders' AS name, (SELECT count(*) FROM o) AS size UNION ALL SELECT 1, 'users', (SELECT count(*) FROM u) UNION ALL SELECT 2, 'vectors', (SELECT count(*) FROM vv) UNION ALL SELECT 3, 'docs', (SELECT count(*) FROM d) UNION ALL SELECT 4, 'chats', (SELECT count(*) FROM h)),
+    w AS (SELECT 0 AS ds, 'lines' AS key, (SELECT sum(least(n, 6)) FROM c) AS n UNION ALL SELECT 0, 'total', (SELECT count(total) FROM o) UNION ALL SELECT 0, 'priority', (SELECT count(priority) FROM o)
+      UNION ALL SELECT 1, 'values', (SELECT sum(least(n, 64)) FROM n) UNION ALL SELECT 1, 'etype', (SELECT sum(least(n, 64)) FROM n) UNION ALL SELECT 2, 'emb', (SELECT count(embedding) FROM vv) UNION ALL SELECT 2, 'label', (SELECT count(label) FROM vv)
+      UNION ALL SELECT 3, 'n_chars', (SELECT count(n_chars) FROM d) UNION ALL SELECT 3, 'quality', (SELECT count(quality) FROM d) UNION ALL SELECT 3, 'toxic', (SELECT count(toxic) FROM d) UNION ALL SELECT 4, 'turn_len', (SELECT sum(least(n, 8)) FROM (SELECT count(*) AS n FROM t GROUP BY ix)))
+    SELECT y.ds::INT AS dataset_ix, y.name AS dataset, z.key, coalesce(w.n, 0)::BIGINT AS n_valid, (y.size * z.width)::BIGINT AS n_total, {_six("coalesce(w.n, 0) / (y.size * z.width)::DOUBLE")} AS fraction FROM y CROSS JOIN z LEFT JOIN w ON w.ds = y.ds AND w.key = z.key""",
+)
+def _(spark, d):
+    rows, schema = unified(spark, d, "orders", "users", "vectors", "docs", "chats")
+    return report.valid_fractions(rows, schema).withColumn("fraction", F.round("fraction", 6))
+
+
+@query(
+    "union_rows",
+    f"""WITH {_D0}, {_D2} SELECT ix AS gix, 0 AS dataset_ix, total, true AS total_mask, -1::BIGINT AS label, false AS label_mask, 0::DOUBLE AS emb0, false AS emb_mask FROM o
+    UNION ALL SELECT ix + (SELECT count(*) FROM o), 2 - 1, -5.0::DOUBLE, false, label, true, {_six("embedding[1]")}, true FROM v""",
+)
+def _(spark, d):
+    rows, _s = unified(spark, d, "orders", "vectors")
+    return rows.select("gix", "dataset_ix", "total", "total_mask", "label", "label_mask", _r(F.get("emb", F.lit(0))).alias("emb0"), "emb_mask")
+
+
+@query("pad_crop_steps", f"WITH {_D0} SELECT o.ix, g.i, coalesce(l.q, 0::DOUBLE) AS quantity, coalesce(l.t, 0::DOUBLE) AS tax, l.q IS NOT NULL AS m FROM o CROSS JOIN (SELECT unnest(range(6)) AS i) g LEFT JOIN l ON l.l_orderkey = o.o_orderkey AND l.i = g.i")
+def _(spark, d):
+    rows, _s = unified(spark, d, "orders")
+    return steps(rows, "lines", "local_ix").select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), F.get("x", F.lit(0)).alias("quantity"), F.get("x", F.lit(3)).alias("tax"), "m")
+
+
+@query("native_lengths", f"WITH {_D0} SELECT ix, n AS raw_length, CASE WHEN n = 0 THEN 6 ELSE n END AS native_length, n AS n_valid FROM c")
+def _(spark, d):
+    raw = with_index(read(spark, d, "orders"), ["o_orderkey"])
+    schema = union_schema("orders")
+    native = unify(raw, schema, pad_features=False).select("local_ix", F.size("lines").cast("long").alias("native_length"), F.size(F.filter("lines_mask", lambda m: m)).cast("long").alias("n_valid"))
+    return raw.select("local_ix", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("raw_length")).join(native, "local_ix").withColumnRenamed("local_ix", "ix")
+
+
+@query("repeat_pad", f"WITH {_D4}, n AS (SELECT ix, count(*) AS n, arg_max(v, i) AS last FROM t GROUP BY ix) SELECT n.ix, g.i, coalesce(t.v, n.last) AS x FROM n CROSS JOIN (SELECT unnest(range(8)) AS i) g LEFT JOIN t ON t.ix = n.ix AND t.i = g.i")
+def _(spark, d):
+    rows = with_index(read(spark, d, "chats"), ["conv_id"])
+    return rows.select(F.col("local_ix").alias("ix"), F.posexplode(A.repeat_pad(F.col("turn_len"), 8)).alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(
+    "fill_gaps",
+    f"""WITH {_D1}, g AS (SELECT ix, i, CASE WHEN v >= 20 OR i = 3 THEN v END AS v FROM e)
+    SELECT ix, i, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY ix ORDER BY i), first_value(v IGNORE NULLS) OVER (PARTITION BY ix ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM g""",
+)
+def _(spark, d):
+    rows = with_index(read(spark, d, "users"), ["user_id"])
+    valid = F.transform("values", lambda x, i: (x >= 20) | (i == 3))
+    return rows.select(F.col("local_ix").alias("ix"), F.posexplode(A.fill_gaps(F.col("values"), valid)).alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+@query("supplied_mask_and", f"WITH {_D1} SELECT ix, i, m AND v >= 20 AS m FROM s")
+def _(spark, d):
+    rows = with_index(read(spark, d, "users"), ["user_id"]).withColumn("values_mask", F.transform("values", lambda x: x >= 20))
+    return steps(unify(rows, union_schema("users")), "values", "local_ix").select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), "m")
+
+
+# Statistics and balance.
+
+
+@query("feature_stats", f"WITH {_D2} SELECT 'emb' AS key, j::INT AS channel, {_six('avg(x)')} AS mean, {_six('greatest(stddev_pop(x), 1e-6)')} AS std FROM x GROUP BY j")
+def _(spark, d):
+    rows, schema = unified(spark, d, "vectors")
+    return stats.feature_stats(rows, schema).withColumns({"mean": _r("mean"), "std": _r("std")})
+
+
+_MEASURES = ", ".join(f"{_six(x)} AS {n}" for n, x in (("mean", "avg(x)"), ("std", "greatest(stddev_samp(x), 1e-6)"), ("min", "min(x)"), ("max", "max(x)"), ("median", "quantile_cont(x, 0.5)"), ("iqr", "greatest(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 1e-6)")))
+_LINES = "p AS (SELECT ix, i, j, CASE j WHEN 0 THEN q WHEN 1 THEN e WHEN 2 THEN d ELSE t END AS x FROM (SELECT o.ix, l.*, unnest(range(4)) AS j FROM o JOIN l ON l.l_orderkey = o.o_orderkey WHERE l.i < 6))"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: _r(c) for c in stats.FIELDS if c in df.columns})
+
+
+@query("full_stats", f"WITH {_D0}, {_LINES}, {_D2} SELECT 'emb' AS key, j::INT AS channel, count(*) AS n, {_MEASURES} FROM x GROUP BY j UNION ALL SELECT 'lines', j::INT, count(*), {_MEASURES} FROM p GROUP BY j")
+def _(spark, d):
+    rows, schema = unified(spark, d, "orders", "vectors")
+    return _rounded(stats.full_stats(rows, schema))
+
+
+@query("dataset_stats", f"WITH {_D0}, {_D3}, a AS (SELECT 'orders' AS dataset, 'total' AS key, total AS x FROM o UNION ALL SELECT 'docs', 'n_chars', n_chars FROM d) SELECT dataset, key, 0 AS channel, count(*) AS n, {_MEASURES} FROM a GROUP BY GROUPING SETS ((dataset, key), (key))")
+def _(spark, d):
+    rows, schema = unified(spark, d, "orders", "docs")
+    return _rounded(stats.dataset_stats(rows, schema, ["total", "n_chars"], union=True))
+
+
+@query("class_histogram_scalar", "SELECT c.cls, count(label) AS n FROM (SELECT unnest(range(12)) AS cls) c LEFT JOIN embeddings ON label = c.cls GROUP BY c.cls")
+def _(spark, d):
+    rows, schema = unified(spark, d, "vectors")
+    return balance.class_histogram(rows, schema, "label", 12)
+
+
+@query("class_histogram_steps", f"WITH {_D1} SELECT cls::BIGINT AS cls, count(*) AS n FROM s WHERE m GROUP BY cls")
+def _(spark, d):
+    rows, schema = unified(spark, d, "users")
+    return balance.class_histogram(rows, schema, "etype")
+
+
+_COUNTS = f"{_D3}, c AS (SELECT quality AS cls, count(*) AS n FROM d WHERE quality IS NOT NULL GROUP BY quality)"
+for _scheme, _raw in (("inverse", "1 / n::DOUBLE"), ("effective", "(1 - 0.999::DOUBLE) / greatest(1 - pow(0.999::DOUBLE, n), 1e-12)")):
+
+    @query(f"loss_weights_{_scheme}", f"WITH {_COUNTS}, w AS (SELECT cls, n, {_raw} AS r FROM c) SELECT cls, n, {_six('r * count(*) OVER () / sum(r) OVER ()')} AS weight FROM w")
+    def _(spark, d, scheme=_scheme):
+        rows, schema = unified(spark, d, "docs")
+        return balance.loss_weights(balance.class_histogram(rows, schema, "quality"), scheme).withColumn("weight", _r("weight"))
+
+
+@query("sampler_weights", f"WITH {_COUNTS} SELECT d.ix, d.quality AS cls, {_six('coalesce(1 / c.n::DOUBLE, 0)')} AS weight FROM d LEFT JOIN c ON c.cls = d.quality")
+def _(spark, d):
+    rows, schema = unified(spark, d, "docs")
+    return balance.sampler_weights(rows, schema, "quality", "local_ix").select(F.col("local_ix").alias("ix"), "cls", _r("weight").alias("weight"))
+
+
+@query("step_mode", f"WITH {_D1}, c AS (SELECT ix, cls, count(*) AS n FROM s WHERE m GROUP BY ix, cls) SELECT ix, cls::BIGINT AS cls FROM c QUALIFY row_number() OVER (PARTITION BY ix ORDER BY n DESC, cls) = 1")
+def _(spark, d):
+    rows, schema = unified(spark, d, "users")
+    return balance.sample_classes(rows, schema, "etype", "local_ix").withColumnRenamed("local_ix", "ix")
+
+
+# Deterministic transforms.
+
+
+def _vector(df: DataFrame) -> DataFrame:
+    return df.select(F.col("local_ix").alias("ix"), F.posexplode("emb").alias("j", "x")).select("ix", F.col("j").cast("long").alias("j"), F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+_STAT = "a AS (SELECT j, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM x GROUP BY j)"
+for _name, _class, _sql in (
+    ("normalize", X.Normalize, "(x - mean) / (greatest(std, 1e-6) + 1e-6)"),
+    ("min_max", X.MinMaxNormalize, "(x - lo) / ((hi - lo) + 1e-6)"),
+    ("robust", X.RobustNormalize, "(x - med) / (greatest(iqr, 1e-6) + 1e-6)"),
+):
+
+    @query(_name, f"WITH {_D2}, {_STAT} SELECT x.ix, x.j, round(CAST(CAST({_sql} AS FLOAT) AS DOUBLE), 4) AS x FROM x JOIN a USING (j)")
+    def _(spark, d, cls=_class):
+        rows, schema = unified(spark, d, "vectors")
+        found = stats.collect_stats(stats.full_stats(rows, schema))  # one row a channel
+        return _vector(cls(found, schema)(rows))
+
+
+@query("instance", f"WITH {_D2} SELECT ix, j, round(CAST(CAST((x - avg(x) OVER w) / greatest(stddev_samp(x) OVER w, 1e-6) AS FLOAT) AS DOUBLE), 4) AS x FROM x WINDOW w AS (PARTITION BY ix)")
+def _(spark, d):
+    rows, schema = unified(spark, d, "vectors")
+    return _vector(X.InstanceNormalize(schema=schema)(rows))
+
+
+@query("instance_steps", f"WITH {_D0}, {_LINES} SELECT ix, i, j, round(CAST(CAST((x - avg(x) OVER w) / greatest(stddev_samp(x) OVER w, 1e-6) AS FLOAT) AS DOUBLE), 3) AS x FROM p WINDOW w AS (PARTITION BY ix, j) QUALIFY count(*) OVER w > 1")
+def _(spark, d):
+    rows, schema = unified(spark, d, "orders")
+    rows = rows.where(F.size(F.filter("lines_mask", lambda m: m)) > 1)
+    made = steps(X.InstanceNormalize(["lines"], schema=schema)(rows), "lines", "local_ix", width=4).where("m")
+    return made.select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round(F.col("x").cast("double"), 3).alias("x"))
+
+
+for _fallback, _else in (("identity", "x"), ("union", "(x - 1000) / (500 + 1e-6::DOUBLE)")):
+
+    @query(
+        f"per_dataset_{_fallback}",
+        f"""WITH {_D0}, {_D3}, a AS (SELECT ix AS gix, 0 AS ds, total AS x FROM o UNION ALL SELECT ix + (SELECT count(*) FROM o), 1, n_chars FROM d)
+        SELECT gix, ds, round(CAST(CAST(CASE WHEN ds = 0 THEN (x - 150000) / (50000 + 1e-6::DOUBLE) ELSE {_else} END AS FLOAT) AS DOUBLE), 3) AS x FROM a""",
+    )
+    def _(spark, d, fallback=_fallback):
+        rows, schema = unified(spark, d, "orders", "docs")
+        known = {"orders": {"total": {"mean": 150000, "std": 50000}, "n_chars": {"mean": 0, "std": 1}}}
+        made = X.PerDatasetNormalize(known, schema, fallback, {"n_chars": {"mean": 1000, "std": 500}, "total": {"mean": 0, "std": 1}})(rows)
+        x = F.when(F.col("dataset_ix") == 0, F.col("total")).otherwise(F.col("n_chars"))
+        return made.select("gix", F.col("dataset_ix").alias("ds"), F.round(x.cast("double"), 3).alias("x"))
+
+
+# Crops and random transforms.
+
+
+def _values(df: DataFrame) -> DataFrame:
+    return steps(df, "values", "local_ix").select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), _r("x").alias("x"), "m")
+
+
+def _draw(cls: str, *parts: str, ix: str = "ix") -> str:
+    return _u("'0'", "'0'", f"{ix}::VARCHAR", f"'{cls}'", *parts)
+
+
+for _name, _class, _at in (("center_crop", X.CenterCrop, "greatest(0, (least(n, 64) - 16) // 2)"), ("random_crop", X.RandomCrop, f"floor({_draw('RandomCrop', chr(39) + 'offset' + chr(39))} * (greatest(0, least(n, 64) - 16) + 1))")):
+
+    @query(_name, f"WITH {_D1}, a AS (SELECT ix, {_at}::BIGINT AS o FROM n) SELECT ix, s.i - o AS i, {_six('v')} AS x, m FROM s JOIN a USING (ix) WHERE s.i >= o AND s.i < o + 16")
+    def _(spark, d, cls=_class):
+        rows, schema = unified(spark, d, "users")
+        return _values(cls(16, schema=schema)(rows))
+
+
+@query("gaussian_noise", f"WITH {_D2} SELECT ix, j, round(CAST(CAST(CASE WHEN {_draw('GaussianNoise', chr(39) + 'emb' + chr(39), chr(39) + 'gate' + chr(39))} < 0.5 THEN x + 0.1::DOUBLE * sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_draw('GaussianNoise', chr(39) + 'emb' + chr(39), chr(39) + 'u1' + chr(39), 'j::VARCHAR')})) * cos(2.0::DOUBLE * pi() * {_draw('GaussianNoise', chr(39) + 'emb' + chr(39), chr(39) + 'u2' + chr(39), 'j::VARCHAR')}) ELSE x END AS FLOAT) AS DOUBLE), 4) AS x FROM x")
+def _(spark, d):
+    rows, schema = unified(spark, d, "vectors")
+    return _vector(X.GaussianNoise(schema=schema)(rows))
+
+
+@query("feature_dropout", f"WITH {_D3}, a AS (SELECT ix, n_chars, quality, {_draw('FeatureDropout', chr(39) + 'n_chars' + chr(39))} < 0.6 AS dn, quality IS NOT NULL AND {_draw('FeatureDropout', chr(39) + 'quality' + chr(39))} < 0.6 AS dq FROM d), b AS (SELECT *, dn AND NOT (dq OR quality IS NULL) AS gn FROM a) SELECT ix, CASE WHEN gn THEN 0 ELSE n_chars END AS n_chars, NOT gn AS n_chars_mask, CASE WHEN dq THEN 0 ELSE coalesce(quality, -1) END AS quality, quality IS NOT NULL AND NOT dq AS quality_mask FROM b")
+def _(spark, d):
+    rows, schema = unified(spark, d, "docs")
+    made = X.FeatureDropout(["n_chars", "quality"], p=0.6, schema=schema)(rows)
+    return made.select(F.col("local_ix").alias("ix"), "n_chars", "n_chars_mask", "quality", "quality_mask")
+
+
+@query("span_masking", f"WITH {_D1}, a AS (SELECT ix, least(n, 64) - 1 AS l, {_draw('SpanMasking', chr(39) + 'values' + chr(39), chr(39) + 'gate' + chr(39))} < 0.5 AS g, floor({_draw('SpanMasking', chr(39) + 'values' + chr(39), chr(39) + 'start' + chr(39), chr(39) + '0' + chr(39))} * least(n, 64)) AS o FROM n) SELECT ix, i, {_six('CASE WHEN g AND i >= o AND i < o + 5 AND i <= l THEN 0 ELSE v END')} AS x, m FROM s JOIN a USING (ix)")
+def _(spark, d):
+    rows, schema = unified(spark, d, "users")
+    return _values(X.SpanMasking(["values"], schema=schema)(rows))
+
+
+@query("feature_masking", f"WITH {_D2}, a AS (SELECT ix, {_draw('FeatureMasking', chr(39) + 'emb' + chr(39), chr(39) + 'gate' + chr(39))} < 0.5 AS g, floor({_draw('FeatureMasking', chr(39) + 'emb' + chr(39), chr(39) + 'width' + chr(39), chr(39) + '0' + chr(39))} * 5)::BIGINT AS w FROM v), b AS (SELECT *, floor({_draw('FeatureMasking', chr(39) + 'emb' + chr(39), chr(39) + 'start' + chr(39), chr(39) + '0' + chr(39))} * (64 - w + 1))::BIGINT AS s FROM a) SELECT ix, j, round(CASE WHEN g AND j >= s AND j < s + w THEN 0 ELSE x END, 4) AS x FROM x JOIN b USING (ix)")
+def _(spark, d):
+    rows, schema = unified(spark, d, "vectors")
+    return _vector(X.FeatureMasking(schema=schema)(rows))
+
+
+def _lerp(source: str, n_in: str, n_out: str) -> str:
+    """Joins two neighbours of ``source`` (ix, i, y) at half-pixel centres."""
+    return f"""(SELECT t.ix, t.i, p.y * (1 - (t.src - floor(t.src))) + q.y * (t.src - floor(t.src)) AS y FROM
+        (SELECT a.ix, g.i, greatest(0::DOUBLE, (g.i + 0.5::DOUBLE) * {n_in} / {n_out} - 0.5::DOUBLE) AS src, {n_in} AS n_in FROM a JOIN (SELECT unnest(range(100)) AS i) g ON g.i < {n_out}) t
+        JOIN {source} p ON p.ix = t.ix AND p.i = least(floor(t.src)::BIGINT, t.n_in - 1) JOIN {source} q ON q.ix = t.ix AND q.i = least(floor(t.src)::BIGINT + 1, t.n_in - 1))"""
+
+
+@query(
+    "time_warp",
+    f"""WITH {_D1}, a AS (SELECT ix, {_draw('TimeWarp', chr(39) + 'gate' + chr(39))} < 0.5 AS g, greatest(1, round_even(64 * (0.8::DOUBLE + {_draw('TimeWarp', chr(39) + 'rate' + chr(39))} * (1.25::DOUBLE - 0.8::DOUBLE)), 0)::BIGINT) AS m FROM n),
+    f AS (SELECT ix, i, v AS y FROM s), w1 AS {_lerp('f', '64', 'a.m')}, w2 AS {_lerp('w1', 'a.m', '64')}
+    SELECT s.ix, s.i, round(CASE WHEN a.g THEN w2.y ELSE s.v END, 5) AS x, s.m FROM s JOIN a USING (ix) JOIN w2 ON w2.ix = s.ix AND w2.i = s.i""",
+)
+def _(spark, d):
+    rows, schema = unified(spark, d, "users")
+    made = steps(X.TimeWarp(keys=["values"], schema=schema)(rows), "values", "local_ix")
+    return made.select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"), "m")
+
+
+# Plans. Sizes are fixed, as plans depend on nothing else.
+
+_SIZES = (150, 500, 100)
+
+
+def _draws(counts, epoch: int = 0) -> str:
+    """Fresh draws of each dataset in SQL."""
+    parts, offset = [], 0
+    for i, (n, c) in enumerate(zip(_SIZES, counts, strict=True)):
+        parts.append(f"SELECT {i} AS ds, x + {offset} AS gix, tile * {n} + row_number() OVER (PARTITION BY tile ORDER BY md5(concat_ws(':', '{7 + i}', 'fresh:{epoch}', tile::VARCHAR, x::VARCHAR)), x) - 1 AS draw, {c} AS c FROM (SELECT unnest(range({-(-c // n)})) AS tile) CROSS JOIN (SELECT unnest(range({n})) AS x)")
+        offset += n
+    return "r AS (" + " UNION ALL ".join(parts) + "), p AS (SELECT * FROM r WHERE draw < c)"
+
+
+def _plan_sql(counts, epoch: int = 0, order: str | None = None) -> str:
+    order = order or f"md5(concat_ws(':', '7', '{epoch}', 'order', ds::VARCHAR, draw::VARCHAR)), ds, draw"
+    return f"WITH {_draws(counts, epoch)} SELECT {epoch} AS epoch, row_number() OVER (ORDER BY {order}) - 1 AS pos, ds AS dataset_ix, gix FROM p"
+
+
+_EFFECTIVE = S.SubsampleConfig(effective_size=[None, 60, 230])
+for _name, _make, _epoch, _counts in (
+    ("plan_proportional", lambda: S.ProportionalStrategy(_SIZES, 7), 0, (150, 500, 100)),
+    ("plan_temperature", lambda: S.TemperatureStrategy(_SIZES, 2.0, 7), 1, (213, 389, 174)),
+    ("plan_annealed", lambda: S.AnnealedTemperatureStrategy(_SIZES, 5.0, 1.0, 5, 7), 2, (0, 0, 0)),
+    ("plan_fixed", lambda: S.FixedWeightStrategy(_SIZES, [1, 1, 2], 400, 7), 0, (100, 100, 200)),
+    ("plan_round_robin", lambda: S.RoundRobinStrategy(_SIZES, None, 7), 0, (100, 100, 100)),
+    ("effective_size", lambda: S.ProportionalStrategy(_SIZES, 7, _EFFECTIVE), 0, (150, 60, 230)),
+):
+    _at = _make()
+    # The temperatures' counts by their definition: largest remainders of size ** (1 / temperature).
+    _counts = tuple(_at.counts(_epoch)) if _name in ("plan_temperature", "plan_annealed") else _counts
+
+    @query(_name, _plan_sql(_counts, _epoch, "draw, ds" if _at.interleaved else None))
+    def _(spark, d, make=_make, epoch=_epoch):
+        return make().plan(spark, epoch)
+
+
+_PERM = "SELECT x AS local_ix, row_number() OVER (ORDER BY md5(concat_ws(':', '3', '{0}', '{1}', x::VARCHAR)), x) - 1 AS r FROM (SELECT unnest(range(500)) AS x)"
+
+
+@query("draw_fresh", f"SELECT local_ix, r AS draw FROM ({_PERM.format('fresh:2', 0)}) WHERE r < 120")
+def _(spark, d):
+    return S.IndexPool(spark, 500, 3).draw(120, 2)
+
+
+@query("draw_oversample", " UNION ALL ".join(f"SELECT local_ix, r + {500 * t} AS draw FROM ({_PERM.format('fresh:0', t)}) WHERE r + {500 * t} < 1300" for t in range(3)))
+def _(spark, d):
+    return S.IndexPool(spark, 500, 3).draw(1300, 0)
+
+
+@query("draw_exhaust", " UNION ALL ".join(f"SELECT local_ix, r + {500 * t} - 700 AS draw FROM ({_PERM.format('exhaust', t)}) WHERE r + {500 * t} BETWEEN 700 AND 1049" for t in (1, 2)))
+def _(spark, d):
+    return S.IndexPool(spark, 500, 3, S.SubsampleConfig(policy=S.ExhaustionPolicy.EXHAUST)).draw(350, 2, 700)
+
+
+@query("draw_replacement", f"SELECT floor({_u(chr(39) + '3' + chr(39), chr(39) + '1' + chr(39), chr(39) + 'replace' + chr(39), 'x::VARCHAR')} * 500)::BIGINT AS local_ix, x AS draw FROM (SELECT unnest(range(700)) AS x)")
+def _(spark, d):
+    return S.IndexPool(spark, 500, 3, S.SubsampleConfig(replacement=True)).draw(700, 1)
+
+
+def _label_weights(spark, d):
+    rows, schema = unified(spark, d, "vectors")
+    return balance.sampler_weights(rows, schema, "label", "local_ix").select("local_ix", (F.col("weight") * (F.col("cls") != 3).cast("int")).alias("weight"))
+
+
+_WEIGHTS = f"{_D2}, w AS (SELECT ix, 1 / count(*) OVER (PARTITION BY label)::DOUBLE AS w, label FROM v)"
+
+
+@query("draw_weighted", f"WITH {_WEIGHTS} SELECT ix AS local_ix, row_number() OVER (ORDER BY -ln({_u(chr(39) + '3' + chr(39), chr(39) + '0' + chr(39), chr(39) + 'weighted' + chr(39), 'ix::VARCHAR')} + 1e-18::DOUBLE) / w, ix) - 1 AS draw FROM w WHERE label <> 3 QUALIFY draw < 100")
+def _(spark, d):
+    return S.IndexPool(spark, 0, 3, None, _label_weights(spark, d)).draw(100, 0)
+
+
+@query(
+    "draw_weighted_replacement",
+    f"""WITH {_WEIGHTS}, c AS (SELECT ix, sum(w) OVER (ORDER BY ix) AS hi, sum(w) OVER (ORDER BY ix) - w AS lo FROM w WHERE label <> 3), p AS (SELECT x AS draw, {_u(chr(39) + '3' + chr(39), chr(39) + '0' + chr(39), chr(39) + 'replace' + chr(39), 'x::VARCHAR')} * (SELECT sum(w) FROM w WHERE label <> 3) AS at FROM (SELECT unnest(range(5000)) AS x))
+    SELECT coalesce((SELECT min(ix) FROM c WHERE c.hi > p.at), (SELECT max(ix) FROM c)) AS local_ix, draw FROM p""",
+)
+def _(spark, d):
+    return S.IndexPool(spark, 0, 3, S.SubsampleConfig(replacement=True), _label_weights(spark, d)).draw(5000, 0)
+
+
+_BASE = _plan_sql((150, 500, 100))
+
+
+@query("shard_wrap", f"WITH b AS ({_BASE}), w AS (SELECT * FROM b UNION ALL SELECT epoch, pos + 750, dataset_ix, gix FROM b WHERE pos < 6) SELECT epoch, pos, dataset_ix, gix FROM w WHERE pos % 7 = 2")
+def _(spark, d):
+    return S.shard(S.make_plan(spark, _SIZES, seed=7), 750, 7, 2)
+
+
+@query("shard_drop", f"SELECT epoch, pos, dataset_ix, gix FROM ({_BASE}) WHERE pos < 749 AND pos % 7 = 2")
+def _(spark, d):
+    return S.shard(S.make_plan(spark, _SIZES, seed=7), 750, 7, 2, drop_last=True)
+
+
+@query(
+    "bucket_batches",
+    f"""WITH {_D0}, p AS (SELECT ix, n, ix // 320 AS pool FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY n, ix) - 1 AS k FROM p), b AS (SELECT *, pool * 10 + k // 32 AS b FROM r),
+    h AS (SELECT b, row_number() OVER (ORDER BY md5(concat_ws(':', '5', '0', 'batches', b::VARCHAR)), b) - 1 AS batch_id FROM (SELECT DISTINCT b FROM b)) SELECT ix AS pos, n AS length, batch_id, (k % 32)::INT AS slot FROM b JOIN h USING (b)""",
+)
+def _(spark, d):
+    rows = with_index(read(spark, d, "orders"), ["o_orderkey"]).select(F.col("local_ix").alias("pos"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("length"))
+    return S.bucket_batches(rows, 32, 10, seed=5)
+
+
+_CUTS = "CASE WHEN r < round_even(n * 0.8::DOUBLE, 0) THEN 'train' WHEN r < round_even(n * 0.8::DOUBLE, 0) + round_even(n * 0.1::DOUBLE, 0) THEN 'valid' ELSE 'test' END AS split"
+
+
+@query("split_plain", f"WITH {_D0}, a AS (SELECT ix, row_number() OVER (ORDER BY md5(concat_ws(':', '1', 'split', ix::VARCHAR)), ix) - 1 AS r, count(*) OVER () AS n FROM o) SELECT ix, {_CUTS} FROM a")
+def _(spark, d):
+    rows = with_index(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), ["o_orderkey"]).select(F.col("local_ix").alias("ix"))
+    return split(rows, "ix", seed=1)
+
+
+@query("split_stratified", f"WITH a AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(concat_ws(':', '1', 'split', doc_id::VARCHAR)), doc_id) - 1 AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels) SELECT doc_id, quality, {_CUTS} FROM a")
+def _(spark, d):
+    return split(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality"), "doc_id", seed=1, stratify="quality")
+
+
+# Batches.
+
+
+@query("collate_dynamic_len", f"WITH {_D0}, a AS (SELECT ix, CASE WHEN n = 0 THEN 6 ELSE n END AS n, n AS v FROM c) SELECT ix, ix // 16 AS batch_id, max(n) OVER (PARTITION BY ix // 16) AS length, v AS n_valid FROM a")
+def _(spark, d):
+    rows, schema = unified(spark, d, "orders", pad_features=False)
+    made = batch.dynamic_padding(batch.fixed_batches(batch.evaluation_order(rows), 16), schema, ["lines"])
+    return made.select(F.col("local_ix").alias("ix"), "batch_id", F.size("lines").cast("long").alias("length"), F.size(F.filter("lines_mask", lambda m: m)).cast("long").alias("n_valid"))
+
+
+@query("collated_batches", "WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ix, label FROM embeddings) SELECT ix // 16 AS batch_id, count(*)::INT AS batch_size, string_agg(label, ',' ORDER BY ix) AS labels FROM v GROUP BY ix // 16")
+def _(spark, d):
+    rows, _s = unified(spark, d, "vectors")
+    made = batch.collate(batch.fixed_batches(batch.evaluation_order(rows), 16), ["label"])
+    return made.select("batch_id", "batch_size", F.array_join(F.col("label").cast("array<string>"), ",").alias("labels"))
+
+
+_PARTNER = f"b AS (SELECT ix, ix // 16 AS b, (ix % 16)::INT AS slot, count(*) OVER (PARTITION BY ix // 16) AS size FROM {{0}}), q AS (SELECT *, (row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws(':', '9', '0', 'perm', b::VARCHAR, slot::VARCHAR)), slot) - 1)::INT AS p FROM b)"
+
+
+def _beta(alpha: str = "0.2") -> str:
+    """The first accepted pair of Johnk's method, in SQL."""
+    u = lambda k: _u("'9'", "'0'", "'mix'", "b::VARCHAR", f"'{k}'", "i::VARCHAR")
+    return f"""e AS (SELECT b, i, ln({u("x")} + 1e-300::DOUBLE) / {alpha}::DOUBLE AS lx, ln({u("y")} + 1e-300::DOUBLE) / {alpha}::DOUBLE AS ly FROM (SELECT DISTINCT b FROM b) CROSS JOIN (SELECT unnest(range(64)) AS i)),
+    e2 AS (SELECT b, i, lx, greatest(lx, ly) + ln(exp(lx - greatest(lx, ly)) + exp(ly - greatest(lx, ly))) AS t FROM e), lam AS (SELECT b, exp(arg_min(lx - t, i)) AS lam FROM e2 WHERE t <= 0 GROUP BY b)"""
+
+
+@query(
+    "mixup",
+    f"""WITH {_D2}, {_PARTNER.format("v")}, {_beta()} SELECT q.ix, q.p AS mixup_index, {_six("lam.lam")} AS lam, round(CAST(CAST(lam.lam * a.embedding[1]::DOUBLE + (1 - lam.lam) * o.embedding[1]::DOUBLE AS FLOAT) AS DOUBLE), 4) AS emb0, o.label AS label_b
+    FROM q JOIN lam USING (b) JOIN v a ON a.ix = q.ix JOIN v o ON o.ix = q.b * 16 + q.p WHERE q.size >= 2""",
+)
+def _(spark, d):
+    rows, schema = unified(spark, d, "vectors")
+    made = batch.mix(batch.fixed_batches(batch.evaluation_order(rows), 16), schema, seed=9)
+    return made.select(F.col("local_ix").alias("ix"), "mixup_index", F.round("mixup_lambda", 6).alias("lam"), F.round(F.get("emb", F.lit(0)).cast("double"), 4).alias("emb0"), "label_b")
+
+
+@query(
+    "cutmix",
+    f"""WITH {_D1.replace("e AS (SELECT u.ix", "ev AS (SELECT u.ix").replace("FROM e GROUP", "FROM ev GROUP").replace("coalesce(e.", "coalesce(ev.").replace("e.v IS NOT", "ev.v IS NOT").replace("LEFT JOIN e ON e.ix = n.ix AND e.i", "LEFT JOIN ev ON ev.ix = n.ix AND ev.i")}, {_PARTNER.format("n")}, {_beta()},
+    r AS (SELECT q.*, lam.lam, round_even((1 - lam.lam) * 64, 0)::BIGINT AS cut, {_u("'9'", "'0'", "'mix'", "q.b::VARCHAR", "'rel'")} AS rel FROM q JOIN lam USING (b)), z AS (SELECT *, floor(rel * (64 - cut))::BIGINT AS at FROM r)
+    SELECT z.ix, a.i, {_six("CASE WHEN a.i >= z.at AND a.i < z.at + z.cut THEN o.v ELSE a.v END")} AS x, a.m FROM z JOIN s a ON a.ix = z.ix JOIN s o ON o.ix = z.b * 16 + z.p AND o.i = a.i""",
+)
+def _(spark, d):
+    rows, schema = unified(spark, d, "users")
+    return _values(batch.mix(batch.fixed_batches(batch.evaluation_order(rows), 16), schema, mode="cutmix", seed=9))
+
+
+# Reports.
+
+
+@query(
+    "describe_classes",
+    f"""WITH {_D1.replace("e AS (SELECT u.ix", "ev AS (SELECT u.ix").replace("FROM e GROUP", "FROM ev GROUP").replace("coalesce(e.", "coalesce(ev.").replace("e.v IS NOT", "ev.v IS NOT").replace("LEFT JOIN e ON e.ix = n.ix AND e.i", "LEFT JOIN ev ON ev.ix = n.ix AND ev.i")}, {_D2.replace("v AS", "vv AS").replace("FROM v)", "FROM vv)")}, {_D3},
+    a AS (SELECT 0 AS dataset_ix, 'etype' AS key, cls::BIGINT AS cls FROM s WHERE m UNION ALL SELECT 1, 'label', label FROM vv UNION ALL SELECT 2, 'quality', quality FROM d WHERE quality IS NOT NULL UNION ALL SELECT 2, 'toxic', toxic FROM d WHERE toxic IS NOT NULL)
+    SELECT dataset_ix, key, cls, count(*) AS n FROM a GROUP BY ALL""",
+)
+def _(spark, d):
+    rows, schema = unified(spark, d, "users", "vectors", "docs")
+    return report.class_distribution(rows, schema)
+
+
+@query("validate_issues", f"WITH {_D0} SELECT 0 AS dataset_ix, ix AS local_ix, 'lines' AS key, CASE WHEN n = 0 THEN 'missing' ELSE 'width differs from the declared 3' END AS issue FROM c UNION ALL SELECT 0, ix, 'absent', 'missing' FROM c UNION ALL SELECT 0, ix, 'total', 'rank 0, declared 1' FROM c")
+def _(spark, d):
+    declared = DatasetSchema((TensorSpec("lines", time_dim=6, feature_dim=3), TensorSpec("absent"), TensorSpec("total", feature_dim=2)))
+    return report.issues(with_index(read(spark, d, "orders"), ["o_orderkey"]), declared, 0, None)
+
