@@ -186,54 +186,69 @@ def _find(rows):
         numbers[word] = c = chr(i + 1 if i < 0xD7FF else i + 0x801)  # without surrogates
         return c
 
-    passages, least, most = [], {}, {}
-    for words, docs, keys, starts in rows:
-        docs = np.frombuffer(docs, np.int64)
+    # Equal passages of different tasks are one from here on.
+    merged: dict[bytes, list] = {}
+    for words, *places in rows:
+        merged.setdefault(words, []).append(places)
+    passages, least, again = [], {}, set()
+    for words, places in merged.items():
+        docs, keys, starts = ([x for p in places for x in np.frombuffer(p[i], t).tolist()] for i, t in ((0, np.int64), (1, np.int64), (2, np.int32)))
         text = "".join([numbers.get(w) or code(w) for w in words.split(b" ")])
-        passages.append((text, docs, keys, starts))
-        lo, hi = int(docs.min()), int(docs.max())
+        lo = min(docs)
+        several = lo != max(docs)
+        passages.append((text, lo, docs, keys, starts))
         for j in range(len(text) - WINDOW + 1):
             w = text[j : j + WINDOW]
-            if w in least:
-                if lo < least[w]:
-                    least[w] = lo
-                if hi > most[w]:
-                    most[w] = hi
+            old = least.get(w)
+            if old is None:
+                least[w] = lo
+                if several:
+                    again.add(w)
             else:
-                least[w], most[w] = lo, hi
-    automaton = ahocorasick.Automaton()
-    for w, lo in least.items():
-        if lo != most[w]:
-            automaton.add_word(w, lo)
-    if not len(automaton):
+                if old != lo or several:
+                    again.add(w)
+                if lo < old:
+                    least[w] = lo
+    if not again:
         return
+    automaton = ahocorasick.Automaton()
+    for w in again:
+        automaton.add_word(w, least[w])
     automaton.make_automaton()
-    for text, docs, keys, starts in passages:
-        mask = None
-        for end, lo in automaton.iter(text):
-            if mask is None:
-                mask = np.zeros(len(docs), np.int32)
-            mask |= (docs > lo).astype(np.int32) << np.int32(end - WINDOW + 1)
-        if mask is not None and mask.any():
-            some = mask != 0
-            yield np.frombuffer(keys, np.int64)[some], np.frombuffer(starts, np.int32)[some], mask[some]
+    for text, lo, docs, keys, starts in passages:
+        found = [(1 << end - WINDOW + 1, first) for end, first in automaton.iter(text)]
+        if not found:
+            continue
+        sure = sum(bit for bit, first in found if first < lo)
+        rest = [(bit, first) for bit, first in found if first >= lo]
+        if rest and len(docs) > 1:
+            # Only the smallest documents keep what the others lose.
+            high = max(first for _, first in rest)
+            all_ = sure + sum(bit for bit, _ in rest)
+            masks = [all_ if d > high else sure + sum(bit for bit, first in rest if first < d) for d in docs]
+        elif sure:
+            masks = [sure] * len(docs)
+        else:
+            continue
+        yield keys, starts, masks
 
 
 def _reports(batches):
-    held, n = [], 0
+    row, start, mask = [], [], []
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in held])) for i in range(3)], ["row", "start", "mask"])
+        some = [i for i, m in enumerate(mask) if m]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for i in some], t) for x, t in ((row, pa.int64()), (start, pa.int32()), (mask, pa.int32()))], ["row", "start", "mask"])
 
     for _, group in _runs(batches):
-        for found in _find(group):
-            held.append(found)
-            n += len(found[0])
-            if n >= 50_000:
+        for keys, starts, masks in _find(group):
+            row += keys
+            start += starts
+            mask += masks
+            if len(row) >= 50_000:
                 yield rows()
-                held, n = [], 0
-    if n:
-        yield rows()
+                row, start, mask = [], [], []
+    yield rows()
 
 
 def reports(docs: DataFrame) -> DataFrame:
