@@ -10,9 +10,10 @@ Documents with equal sets of shingles are one node from the start.
 
 Verification is exact, on the sets of the whole texts, in two passes. First every node meets the first member of
 its buckets, in blocks of ``BLOCK`` nodes, and the members of a block meet each other. What is linked then is
-contracted. Second, in buckets that still hold several components, nodes of different components meet, in pairs
-of blocks; those whose sketches are ``SLACK`` standard deviations below the threshold are left out, the others
-are verified. No bucket has a cap, and no bucket is one task's alone.
+contracted. Second, buckets that still hold several components are joined to areas by the nodes they share, and
+nodes of different components meet, in pairs of blocks of an area, each text once for each block it meets. Pairs
+whose sketches are ``SLACK`` standard deviations below the threshold are left out, the others are verified. No
+bucket has a cap, and no bucket is one task's alone.
 
 Defined cases: null and empty texts have empty sets and are linked with nothing; rows with a null id are linked
 with nothing and have a null component; rows with one id are one document as soon as their sets are linked, and
@@ -139,8 +140,8 @@ def _groups(batches, keys: int):
         yield now, rows
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, each_other: bool) -> DataFrame:
-    """Exact links ``u, v`` among ``pairs`` (center, node); with ``each_other`` also inside the blocks of a center.
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Exact links ``u, v`` among ``pairs`` (center, node), and inside the blocks of a center.
 
     A center's text goes to each of its blocks, every other text once for each of its centers.
     """
@@ -171,14 +172,13 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perce
             for n in sets:
                 if n != center and linked(sets[center], sets[n], percent):
                     roots[n] = center
-            if each_other:
-                rest = sorted(sets, key=lambda n: len(sets[n]))
-                for i, a in enumerate(rest):
-                    for b in rest[i + 1 :]:
-                        if 100 * len(sets[a]) < percent * len(sets[b]):
-                            break
-                        if root(a) != root(b) and linked(sets[a], sets[b], percent):
-                            roots[root(a)] = root(b)
+            rest = sorted(sets, key=lambda n: len(sets[n]))
+            for i, a in enumerate(rest):
+                for b in rest[i + 1 :]:
+                    if 100 * len(sets[a]) < percent * len(sets[b]):
+                        break
+                    if root(a) != root(b) and linked(sets[a], sets[b], percent):
+                        roots[root(a)] = root(b)
             for n in sets:
                 if root(n) != n:
                     u.append(n)
@@ -191,29 +191,45 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perce
     return texts.mapInArrow(run, "u long, v long")
 
 
-def _close(batches, percent: int):
-    """Pairs of nodes of different components in a pair of blocks whose sketches are close enough."""
+def _meet(batches, size: int, percent: int):
+    """Exact links between nodes of different components in a pair of blocks, where the sketches are close enough."""
     s = percent / 100
-    # Bytes of different values agree by chance once in 256.
     least = s - SLACK * (s * (1 - s) / BINS) ** 0.5
+    # Bytes of different values agree by chance once in 256.
     least = (least + (1 - least) / 256) * BINS
+    u, v = [], []
     for _, rows in _groups(batches, 3):
-        node = np.array([r[0] for r in rows], np.int64)
-        root = np.array([r[1] for r in rows], np.int64)
+        node = [r[0] for r in rows]
         n = np.array([r[2] for r in rows], np.int64)
         side = np.array([r[4] for r in rows], np.int64)
-        same = bool((side == 2).all())
         codes = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), BINS)
+        sets: dict[int, np.ndarray | None] = {}
+        roots: dict[int, int] = {r[1]: r[1] for r in rows}
+
+        def root(k, roots=roots):
+            while roots[k] != k:
+                roots[k] = k = roots[roots[k]]
+            return k
+
+        def of(i, rows=rows, sets=sets):
+            if i not in sets:
+                found = shingles(rows[i][5], size)
+                sets[i] = found if len(found) and node_of(found) == rows[i][0] else None
+            return sets[i]
+
+        same = bool((side == 2).all())
         for i in range(len(rows)):
-            other = np.arange(len(rows)) > i if same else side != side[i]
             if not same and side[i] == 1:
                 continue
-            other &= (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            at = np.flatnonzero(other)
-            at = at[(codes[at] == codes[i]).sum(axis=1) >= least]
-            if len(at):
-                a, b = np.minimum(node[at], node[i]), np.maximum(node[at], node[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["center", "node"])
+            other = np.arange(len(rows)) > i if same else side == 1
+            at = np.flatnonzero(other & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            for j in at[(codes[at] == codes[i]).sum(axis=1) >= least].tolist():
+                a, b = root(rows[i][1]), root(rows[j][1])
+                if a != b and of(i) is not None and of(j) is not None and linked(of(i), of(j), percent):
+                    roots[a] = b
+                    u.append(node[i])
+                    v.append(node[j])
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,21 +242,24 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("first", "node")).alias("c")).where("m > 1")
     members = save(keys.join(buckets, "key").select("key", "node", "m", "c"))
     centers = members.where(F.col("node") != F.col("c.node")).groupBy("node").agg(F.min("c").alias("c")).select(F.col("c.node").alias("center"), "node")
-    links = save(verify(save(centers), nodes, docs, size, percent, True))
+    links = save(verify(save(centers), nodes, docs, size, percent))
     roots = save(components(links))
 
     known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    side = 4 * BLOCK
-    open_ = known.select("key", "node", "root").join(mixed.select("key", F.ceil(F.col("size") / side).cast("int").alias("blocks")), "key")
-    open_ = open_.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "root", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
-    open_ = open_.join(nodes.select("node", "n", "codes"), "node").select("key", "lo", "hi", "node", "root", "n", "codes", "side")
-    pairs = open_.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda b: _close(b, percent), "center long, node long").distinct()
-    pairs = save(pairs.join(centers.select("center", "node", F.lit(1).alias("seen")), ["center", "node"], "left").where("seen is null").select("center", "node"))
-    if not pairs.isEmpty():
-        more = verify(pairs, nodes, docs, size, percent, False)
-        roots = save(components(links.unionByName(more)))
+    open_ = save(known.select("key", "node", "root").join(mixed.select("key"), "key"))
+    if not open_.isEmpty():
+        # Buckets that share nodes are one area, so that nodes meet once, not once a band.
+        leads = open_.groupBy("key").agg(F.min("node").alias("lead"))
+        areas = save(components(open_.join(leads, "key").select(F.col("node").alias("u"), F.col("lead").alias("v"))))
+        inside = open_.select("node", "root").distinct().join(areas.select("node", F.col("root").alias("area")), "node", "left").withColumn("area", F.coalesce("area", "node"))
+        count = inside.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("blocks"))
+        inside = inside.join(count, "area").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        inside = inside.select("area", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "root", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
+        wanted = inside.join(nodes.select("node", "first", "n", "codes"), "node")
+        texts = docs.select(F.col("doc_id").alias("first"), "text").join(wanted, "first").select("area", "lo", "hi", "node", "root", "n", "codes", "side", "text")
+        texts = texts.repartition("area", "lo", "hi").sortWithinPartitions("area", "lo", "hi")
+        roots = save(components(links.unionByName(texts.mapInArrow(lambda b: _meet(b, size, percent), "u long, v long"))))
 
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
