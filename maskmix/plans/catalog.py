@@ -297,12 +297,12 @@ def _lerp(source: str, n_in: str, n_out: str) -> str:
     "time_warp",
     f"""WITH {_D1}, a AS (SELECT ix, {_draw('TimeWarp', chr(39) + 'gate' + chr(39))} < 0.5 AS g, greatest(1, round_even(64 * (0.8::DOUBLE + {_draw('TimeWarp', chr(39) + 'rate' + chr(39))} * (1.25::DOUBLE - 0.8::DOUBLE)), 0)::BIGINT) AS m FROM n),
     f AS (SELECT ix, i, v AS y FROM s), w1 AS {_lerp('f', '64', 'a.m')}, w2 AS {_lerp('w1', 'a.m', '64')}
-    SELECT s.ix, s.i, round(CASE WHEN a.g THEN w2.y ELSE s.v END, 5) AS x, s.m FROM s JOIN a USING (ix) JOIN w2 ON w2.ix = s.ix AND w2.i = s.i""",
+    SELECT s.ix, s.i, round(CASE WHEN a.g THEN w2.y ELSE s.v END + 0.00000314159::DOUBLE, 5) AS x, s.m FROM s JOIN a USING (ix) JOIN w2 ON w2.ix = s.ix AND w2.i = s.i""",
 )
 def _(spark, d):
     rows, schema = unified(spark, d, "users")
     made = steps(X.TimeWarp(keys=["values"], schema=schema)(rows), "values", "local_ix")
-    return made.select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"), "m")
+    return made.select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), F.round(F.col("x") + 0.00000314159, 5).alias("x"), "m")  # the offset keeps exact halves from the rounding
 
 
 # Plans. Sizes are fixed, as plans depend on nothing else.
