@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -40,21 +41,93 @@ SPAN = WINDOW - GRAM + 1
 SLICES, LARGEST, HELD_ANCHORS, HELD_PASSAGES = 1024, 29, 1_000_000, 100_000
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
+#: Bytes that are hashed at once, and the bases of the hashes.
+BLOCK, BASE, STEP = 1 << 17, 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct anchors' places, and the first and last window that each serves."""
-    if len(words) < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    line, digest = b" ".join(words), xxhash.xxh3_64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    first = [0, *ends[:-GRAM].tolist()]
-    grams = np.array([digest(line[a:b]) for a, b in zip(first, (ends[GRAM - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    at = np.lib.stride_tricks.sliding_window_view(grams, SPAN).argmin(axis=1) + np.arange(len(grams) - SPAN + 1)
-    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return grams[at[start]], start, np.concatenate([start[1:], [len(at)]]) - 1
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and of its inverse, modulo 2**64."""
+    out = []
+    for x in (BASE, pow(BASE, -1, 1 << 64)):
+        power = np.full(BLOCK + 1, x, np.uint64)
+        power[0] = 1
+        out.append(np.cumprod(power))
+    return out[0], out[1]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * STEP
+    return (x ^ (x >> np.uint64(29))) * np.uint64(BASE)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word by its bytes: a polynomial, from sums that run over a block of words."""
+    out, up, down, i = np.empty(len(starts), np.uint64), *_powers(), 0
+    while i < len(starts):
+        lo = starts[i]
+        j = int(np.searchsorted(ends, lo + BLOCK, "right"))
+        if j <= i:  # a word longer than a block
+            out[i] = xxhash.xxh3_64_intdigest(data[lo : ends[i]].tobytes())
+            i += 1
+            continue
+        part = data[lo : ends[j - 1]].astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        s = starts[i:j] - lo
+        out[i:j] = (sums[ends[i:j] - lo] - sums[s]) * down[s]
+        i = j
+    return mix(out)
+
+
+def chunks(column: pa.Array):
+    """``first, data, offsets``: texts from the row ``first`` on, about a block of bytes or one long text."""
+    if not len(column):
+        return
+    column = column.fill_null("").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1)
+        yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray):
+    """Hashes of the anchors of a chunk's texts: ``hash, row, first, last, base, starts, ends``.
+
+    ``first`` and ``last`` are the windows of an anchor, ``SPAN`` at most, counted over the chunk's words;
+    ``base`` is the first word of each row, ``starts`` and ``ends`` are the words' bytes.
+    """
+    word = np.concatenate([[False], ~SPACE[data], [False]])
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    starts = np.flatnonzero(word[1:] & (~word[:-1] | cut))
+    ends = np.flatnonzero(word[:-1] & (~word[1:] | cut))
+    base = np.searchsorted(starts, offsets)
+    n = len(starts) - WINDOW + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none, base, starts, ends
+    w = word_hashes(data, starts, ends)
+    low = w[: len(w) - GRAM + 1]
+    for k in range(1, GRAM):
+        low = low * STEP + w[k : len(w) - GRAM + 1 + k]
+    low, reach = mix(low), 1
+    while reach < SPAN:  # the least of SPAN runs, by doubling
+        more = min(reach, SPAN - reach)
+        low, reach = np.minimum(low[: len(low) - more], low[more:]), reach + more
+    row = np.repeat(np.arange(len(base) - 1), np.diff(base))
+    whole = row[:n] == row[WINDOW - 1 :]  # windows of one text
+    same = np.concatenate([[False], whole[1:] & whole[:-1] & (low[1:] == low[:-1]), [False]])
+    first, last = np.flatnonzero(whole & ~same[:-1]), np.flatnonzero(whole & ~same[1:])
+    pieces = (last - first) // SPAN + 1
+    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first, last = np.repeat(first, pieces) + SPAN * number, np.repeat(last, pieces)
+    return low[first], row[first], first, np.minimum(last, first + SPAN - 1), base, starts, ends
 
 
 def _reduce(h: np.ndarray, lo: np.ndarray, hi: np.ndarray):
@@ -81,11 +154,11 @@ def _anchor_rows(batches):
         return _packed(*_reduce(h, lo, lo))
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if doc is None:
-                continue
-            h = np.unique(anchors(split(text))[0])
-            held.append((h, np.full(len(h), doc, np.int64)))
+        batch = batch.filter(batch.column(0).is_valid())
+        docs = batch.column(0).to_numpy()
+        for top, data, offsets in chunks(batch.column(1)):
+            h, row, *_ = anchors(data, offsets)
+            held.append((h, docs[top + row]))
             n += len(h)
             if n >= HELD_ANCHORS:
                 yield rows()
@@ -155,20 +228,20 @@ def _passage_rows(batches, bitmap, bits, shards):
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.binary()), pack(0, np.int64), pack(1, np.int64), pack(2, np.int32)], ["shard", "words", "docs", "rows", "starts"])
 
     for batch in batches:
-        for doc, text, row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if doc is None:
-                continue
-            words = split(text)
-            h, first, last = anchors(words)
-            if not len(h):
-                continue
+        batch = batch.filter(batch.column(0).is_valid())
+        ids, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for top, data, offsets in chunks(batch.column(1)):
+            h, row, first, last, base, starts, ends = anchors(data, offsets)
             keep = np.flatnonzero(noted(h, bitmap, bits))
-            for shard, a, b in zip(((h[keep] >> np.uint64(11)) % np.uint64(shards)).tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
-                docs, keys, starts = held[shard, b" ".join(words[a : b + WINDOW])]
-                docs.append(doc)
-                keys.append(row)
-                starts.append(a)
-                n += 1
+            h, row, first, last = h[keep], row[keep], first[keep], last[keep]
+            line = data.tobytes() if len(keep) else b""
+            places = (top + row).tolist(), (first - base[row]).tolist(), starts[first].tolist(), ends[last + WINDOW - 1].tolist()
+            for shard, i, at, a, b in zip(((h >> np.uint64(11)) % np.uint64(shards)).tolist(), *places, strict=True):
+                docs, keys, firsts = held[shard, b" ".join(line[a:b].split())]
+                docs.append(ids[i])
+                keys.append(own[i])
+                firsts.append(at)
+            n += len(keep)
             if n >= HELD_PASSAGES:
                 yield rows()
                 held.clear()
@@ -294,12 +367,17 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kept_tex
     def run(batches):
         for batch in batches:
             n, removed, sha, kept = [], [], [], []
-            for t, s, m in zip(*[batch.column(c).to_pylist() for c in ("_text", "_starts", "_masks")], strict=True):
-                words = split(t)
-                gone = removal(words, s, m)
+            texts = batch.column("_text").cast(pa.large_binary()).to_pylist()
+            for t, s, m in zip(texts, *[batch.column(c).to_pylist() for c in ("_starts", "_masks")], strict=True):
+                words = (t or b"").split()
                 n.append(len(words))
-                removed.append(int(gone.sum()))
-                line = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed[-1] else words)
+                if s:
+                    gone = removal(words, s, m).tolist()
+                    removed.append(sum(gone))
+                    words = [w for w, g in zip(words, gone, strict=True) if not g]
+                else:
+                    removed.append(0)
+                line = b" ".join(words)
                 sha.append(hashlib.sha256(line).hexdigest())
                 if kept_text:
                     kept.append(line.decode())
