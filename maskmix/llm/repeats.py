@@ -20,8 +20,10 @@ gives no rows; ``remove`` carries unknown columns along and replaces columns nam
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
+from array import array
 from collections import defaultdict
 from functools import cache
 
@@ -224,8 +226,8 @@ def _passage_rows(batches, bitmap, bits, shards):
 
     def rows():
         keys = list(held)
-        pack = lambda i, t: pa.array([np.array(held[k][i], t).tobytes() for k in keys], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.binary()), pack(0, np.int64), pack(1, np.int64), pack(2, np.int32)], ["shard", "words", "docs", "rows", "starts"])
+        pack = lambda i, t: pa.array([array(t, held[k][i]).tobytes() for k in keys], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.binary()), pack(0, "q"), pack(1, "q"), pack(2, "i")], ["shard", "words", "docs", "rows", "starts"])
 
     for batch in batches:
         batch = batch.filter(batch.column(0).is_valid())
@@ -250,6 +252,10 @@ def _passage_rows(batches, bitmap, bits, shards):
         yield rows()
 
 
+def unpacked(places: list, i: int, kind: str) -> list[int]:
+    return [x for p in places for x in memoryview(p[i]).cast(kind)]
+
+
 def _find(rows):
     """Reports of one shard: row, start of a passage, and the mask of its windows to remove."""
     numbers: dict[bytes, str] = {}
@@ -265,11 +271,11 @@ def _find(rows):
         merged.setdefault(words, []).append(places)
     passages, least, again = [], {}, set()
     for words, places in merged.items():
-        docs, keys, starts = ([x for p in places for x in np.frombuffer(p[i], t).tolist()] for i, t in ((0, np.int64), (1, np.int64), (2, np.int32)))
+        docs = unpacked(places, 0, "q")
         text = "".join([numbers.get(w) or code(w) for w in words.split(b" ")])
         lo = min(docs)
         several = lo != max(docs)
-        passages.append((text, lo, docs, keys, starts))
+        passages.append((text, lo, docs, places))
         for j in range(len(text) - WINDOW + 1):
             w = text[j : j + WINDOW]
             old = least.get(w)
@@ -288,7 +294,7 @@ def _find(rows):
     for w in again:
         automaton.add_word(w, least[w])
     automaton.make_automaton()
-    for text, lo, docs, keys, starts in passages:
+    for text, lo, docs, places in passages:
         found = [(1 << end - WINDOW + 1, first) for end, first in automaton.iter(text)]
         if not found:
             continue
@@ -303,7 +309,7 @@ def _find(rows):
             masks = [sure] * len(docs)
         else:
             continue
-        yield keys, starts, masks
+        yield unpacked(places, 1, "q"), unpacked(places, 2, "i"), masks
 
 
 def _reports(batches):
@@ -313,15 +319,19 @@ def _reports(batches):
         some = [i for i, m in enumerate(mask) if m]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for i in some], t) for x, t in ((row, pa.int64()), (start, pa.int32()), (mask, pa.int32()))], ["row", "start", "mask"])
 
-    for _, group in _runs(batches):
-        for keys, starts, masks in _find(group):
-            row += keys
-            start += starts
-            mask += masks
-            if len(row) >= 50_000:
-                yield rows()
-                row, start, mask = [], [], []
-    yield rows()
+    gc.disable()  # a shard's many small lists hold no cycles
+    try:
+        for _, group in _runs(batches):
+            for keys, starts, masks in _find(group):
+                row += keys
+                start += starts
+                mask += masks
+                if len(row) >= 50_000:
+                    yield rows()
+                    row, start, mask = [], [], []
+        yield rows()
+    finally:
+        gc.enable()
 
 
 def reports(docs: DataFrame) -> DataFrame:
