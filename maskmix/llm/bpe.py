@@ -25,25 +25,25 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from maskmix.llm.common import documents
+from maskmix.llm.common import documents, map_texts
 
-CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
+CACHE_ENTRIES, CACHE_LENGTH = 200_000, 64
 
 
 class Cache:
     """Two generations of bounded size; what is met again moves to the younger one."""
 
     def __init__(self):
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def find(self, key: str) -> list[int] | None:
+    def find(self, key: str) -> tuple[int, ...] | None:
         found = self.old.get(key)
         if found is not None:
             self.put(key, found)
         return found
 
-    def put(self, key: str, ids: list[int]) -> None:
+    def put(self, key: str, ids: tuple[int, ...]) -> None:
         if len(self.young) >= CACHE_ENTRIES:
             self.old, self.young = self.young, {}
         self.young[key] = ids
@@ -154,20 +154,20 @@ class Tokenizer:
             out.append(ids)
         return out
 
-    def _known(self, pieces) -> dict[str, list[int]]:
+    def _known(self, pieces) -> dict[str, tuple[int, ...]]:
         """Ids of pre-tokens; those not remembered are merged together."""
         young, old, ranks = self.pieces.young, self.pieces.old, self.ranks
         found, new = {}, []
         for piece in pieces:
             ids = young.get(piece) or old.get(piece)
             if ids is None and (whole := ranks.get(piece.encode())) is not None:
-                ids = [whole]
+                ids = (whole,)
             if ids is None:
                 new.append(piece)
             else:
                 found[piece] = ids
         for piece, ids in zip(new, self.merge([x.encode() for x in new]), strict=True):
-            found[piece] = ids
+            found[piece] = ids = tuple(ids)
             if len(piece) <= CACHE_LENGTH:
                 self.pieces.put(piece, ids)
         return found
@@ -179,7 +179,7 @@ class Tokenizer:
         split = [self.split(" " + c) for c in new]
         found = self._known({p for pieces in split for p in pieces})
         for c, pieces in zip(new, split, strict=True):
-            self.chunks.put(c, found[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in found[p]])
+            self.chunks.put(c, found[pieces[0]] if len(pieces) == 1 else tuple([i for p in pieces for i in found[p]]))
 
     def _split(self, text: str) -> list[int]:
         """Ids of any text, pre-token by pre-token."""
@@ -206,7 +206,7 @@ class Tokenizer:
                 if ids is None:
                     if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                         return self._split(text)
-                    ids = self._split(" " + chunk)
+                    ids = tuple(self._split(" " + chunk))
                     if len(chunk) <= CACHE_LENGTH:
                         cache.put(chunk, ids)
                 get = cache.young.get
@@ -242,7 +242,7 @@ def _map(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, source:
             keep = [c for c in batch.schema.names if c != name]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], made], [*keep, name])
 
-    return df.mapInArrow(run, schema)
+    return map_texts(df, run, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -269,7 +269,7 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", text).mapInArrow(run, T.StructType([df.schema["doc_id"], *[T.StructField(c, k) for c, k in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]]))
+    return map_texts(df.select("doc_id", text), run, T.StructType([df.schema["doc_id"], *[T.StructField(c, k) for c, k in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]]))
 
 
 def vocabulary() -> tuple[str, str]:

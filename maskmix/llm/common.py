@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch with texts.
+BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` for rows that hold texts, in batches of at most ``BATCH`` rows.
+
+    A batch is held several times over, by the JVM outside its heap and by Python, so its size bounds both. A
+    smaller number set in the session stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

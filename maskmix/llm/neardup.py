@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskmix.llm.common import documents, save
+from maskmix.llm.common import documents, map_texts, save
 from maskmix.llm.components import components
 
 BINS, BANDS, ROWS, BLOCK, SLACK = 128, 32, 4, 64, 5.0
@@ -113,7 +113,7 @@ def sketched(docs: DataFrame, size: int, id_col: str = "doc_id", text: str = "te
                     ["doc_id", "n_shingles", "node", "bands", "codes"],
                 )
 
-    return docs.select(id_col, text).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, codes binary")
+    return map_texts(docs.select(id_col, text), run, "doc_id long, n_shingles long, node long, bands array<long>, codes binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -188,7 +188,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perce
                 u, v = [], []
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return texts.mapInArrow(run, "u long, v long")
+    return map_texts(texts, run, "u long, v long")
 
 
 def _meet(batches, size: int, percent: int):
@@ -259,7 +259,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
         wanted = inside.join(nodes.select("node", "first", "n", "codes"), "node")
         texts = docs.select(F.col("doc_id").alias("first"), "text").join(wanted, "first").select("area", "lo", "hi", "node", "root", "n", "codes", "side", "text")
         texts = texts.repartition("area", "lo", "hi").sortWithinPartitions("area", "lo", "hi")
-        roots = save(components(links.unionByName(texts.mapInArrow(lambda b: _meet(b, size, percent), "u long, v long"))))
+        roots = save(components(links.unionByName(map_texts(texts, lambda b: _meet(b, size, percent), "u long, v long"))))
 
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
