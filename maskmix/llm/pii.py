@@ -4,8 +4,9 @@ Base: emails, IP addresses, card numbers and phone numbers are found by pattern.
 entity (a base value) the corpus gives the terms that stand near it; the pointwise mutual information of term
 and entity, as a share of the entity's own information content, is the term's disclosure. In a document that
 holds the entity, terms of its surroundings that disclose at least ``generalise_at`` of it are generalised to
-their shape, at least ``remove_at`` removed. A term must stand near the entity in ``min_support`` different
-contexts, so that copies of one document prove nothing.
+their shape, at least ``remove_at`` removed. No entity has to recur: the share of a term's texts that hold the
+entity is taken at the lower end of its Wilson interval, so that few texts prove less than many. Equal texts
+count once, so that copies of one document prove nothing.
 
 All counts are partial aggregates over (entity, term) or term; nothing is grouped by document but its own spans.
 
@@ -16,7 +17,7 @@ results are replaced. Offsets are code points, ends exclusive. Base spans always
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskmix.llm.common import documents, save
@@ -41,6 +42,8 @@ VALID = {
 TERM = r"[\p{L}\p{N}]{3,}+"
 CONTEXT = 120
 HITS = "array<struct<s:int,m:string>>"
+#: Standard deviations of the Wilson interval (95 %).
+Z = 1.96
 
 
 def sql(pattern: str) -> str:
@@ -64,33 +67,53 @@ def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def row_key(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text)))
+    return docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text))).withColumn("_text", F.xxhash64(F.col(text)))
+
+
+def term_set(text: str) -> Column:
+    """The different terms of a text, lower-cased one by one as those near an entity are."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower))
+
+
+def lower_bound(n: Column, of: Column) -> Column:
+    """Lower end of the Wilson interval of the share ``n / of``."""
+    p = n.cast("double") / of
+    spread = F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / of + Z * Z / (4 * of * of))
+    return (p + Z * Z / (2 * of) - Z * spread) / (1 + Z * Z / of)
 
 
 def contexts(based: DataFrame, text: str = "text") -> DataFrame:
-    """One row per entity of a document and term near it: ``_key, entity, context, term, s, e``."""
-    entity = F.concat(F.col("b.k"), F.lit(":"), F.when(F.col("b.k").isin("card", "phone"), F.regexp_replace("b.m", "[^0-9]", "")).otherwise(F.lower("b.m")))
-    rows = based.where(F.size("base") > 0).select("_key", "base", text, F.explode("base").alias("b")).withColumn("entity", entity)
+    """One row per entity of a document and term near it: ``_key, _text, entity, term, s, e``."""
+    rows = based.where(F.size("base") > 0).select("_key", "_text", "base", text, F.explode("base").alias("b")).withColumn("entity", entity_of(F.col("b")))
     rows = rows.withColumn("lo", F.greatest(F.col("b.s") - CONTEXT, F.lit(0)))
     rows = rows.withColumn("left", F.expr(f"substring(`{text}`, lo + 1, b.s - lo)")).withColumn("right", F.expr(f"substring(`{text}`, b.e + 1, {CONTEXT})")).drop(text)
-    rows = rows.withColumn("context", F.xxhash64("left", "right"))
     # A term cut by the edge of the context is left out.
     left = f"transform(filter({matches('left', TERM)}, x -> x.s > 0 or lo = 0), x -> named_struct('term', lower(x.m), 's', lo + x.s, 'e', lo + x.s + length(x.m)))"
     right = f"transform(filter({matches('right', TERM)}, x -> x.s + length(x.m) < {CONTEXT}), x -> named_struct('term', lower(x.m), 's', b.e + x.s, 'e', b.e + x.s + length(x.m)))"
     rows = rows.withColumn("terms", F.expr(f"filter(concat({left}, {right}), y -> not exists(base, z -> z.s < y.e and y.s < z.e))"))
-    return rows.select("_key", "entity", "context", F.explode("terms").alias("y")).select("_key", "entity", "context", "y.*")
+    return rows.select("_key", "_text", "entity", F.explode("terms").alias("y")).select("_key", "_text", "entity", "y.*")
+
+
+def entity_of(b: Column) -> Column:
+    return F.concat(b["k"], F.lit(":"), F.when(b["k"].isin("card", "phone"), F.regexp_replace(b["m"], "[^0-9]", "")).otherwise(F.lower(b["m"])))
+
+
+def term_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``term, n_term`` and one row ``n_all``, both over different texts."""
+    copies = save(docs.groupBy(F.xxhash64(F.col(text)).alias("_text")).agg(F.count(F.lit(1)).alias("n")))
+    # A text that occurs n times counts an n-th each time, so that no text has to travel.
+    rows = docs.select(F.xxhash64(F.col(text)).alias("_text"), F.col(text)).join(copies.where(F.col("n") > 1), "_text", "left")
+    words = rows.select(F.explode(term_set(text)).alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("share"))
+    return words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term")), copies.agg(F.count(F.lit(1)).alias("n_all"))
 
 
-def disclosures(near: DataFrame, docs: DataFrame, entities: DataFrame, text: str = "text", min_support: int = 3, generalise_at: float = 0.75, remove_at: float = 0.9) -> DataFrame:
+def disclosures(near: DataFrame, docs: DataFrame, entities: DataFrame, text: str = "text", generalise_at: float = 0.75, remove_at: float = 0.9) -> DataFrame:
     """``entity, term, disclosure, action`` for the terms that disclose too much."""
-    pairs = near.groupBy("entity", "term", "context", "_key").agg(F.lit(1).alias("one"))
-    pairs = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.agg(F.count(F.lit(1)).alias("n_all"))
+    pairs = near.select("entity", "term", "_text").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    terms, total = term_counts(docs, text)
     rows = pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(total))  # one row
     content = F.log2(F.col("n_all") / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both").cast("double") * F.col("n_all") / (F.col("n_entity").cast("double") * F.col("n_term")))
+    pmi = F.log2(lower_bound(F.col("n_both"), F.col("n_term"))) + content
     rows = rows.withColumn("disclosure", F.when(content > 0, pmi / F.greatest(content, F.lit(1e-9))).otherwise(F.lit(0.0)))
     return rows.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove_at, F.lit("removed")).otherwise(F.lit("generalised")).alias("action"))
 
@@ -99,12 +122,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits)
     """``docs`` plus ``base`` and ``_key``; and for documents with telling terms ``_key, extra`` (k, s, e, action)."""
     based = row_key(find_base(docs, text), id_col, text)
     near = save(contexts(based, text))
-    entities = based.select("_key", F.explode(F.array_distinct(F.transform("base", lambda b: F.concat(b["k"], F.lit(":"), F.when(b["k"].isin("card", "phone"), F.regexp_replace(b["m"], "[^0-9]", "")).otherwise(F.lower(b["m"])))))).alias("entity"))
+    entities = based.select("_text", F.explode(F.transform("base", entity_of)).alias("entity")).distinct()
     entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     telling = disclosures(near, docs, entities, text, **limits)
     spans = near.join(telling, ["entity", "term"]).groupBy("_key", "s", "e").agg(F.max("action").alias("action"))
     extra = spans.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("k"), "s", "e", "action"))).alias("extra"))
-    return based, save(extra)
+    return based.drop("_text"), save(extra)
 
 
 def joined(spans: str) -> str:
@@ -113,7 +136,7 @@ def joined(spans: str) -> str:
 
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """``docs`` plus ``base`` and ``extra``."""
-    based, extra = find(docs.drop("extra", "_key"), id_col, text, **limits)
+    based, extra = find(docs.drop("extra", "_key", "_text"), id_col, text, **limits)
     return based.join(extra, "_key", "left").drop("_key").withColumn("extra", F.coalesce("extra", F.expr("cast(array() as array<struct<k:string,s:int,e:int,action:string>>)")))
 
 

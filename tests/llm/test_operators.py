@@ -82,6 +82,15 @@ def test_pii(docs, empty, spark):
     assert spans[0] == [(12, 19)] and not any(spans[10 + i] for i in range(60))
 
 
+def test_pii_rare_entities(spark):
+    # One text with the entity is enough; words that other texts hold too, and the copies of a text, prove less.
+    rows = [(i, f"note {i} from a person via mail today", "s") for i in range(1000)] + [(2000, "note from quuxley via one@corp.com today", "s")]
+    rows += [(2001 + i, "note from blorptz via two@corp.com today", "s") for i in range(4)]
+    got = {r.doc_id: [(r.text[x.s : x.e], x.action) for x in r.extra] for r in pii.spans_of(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[2000] == [("quuxley", "generalised")] and not any(got[i] for i in range(1000))
+    assert all(got[2001 + i] == [("blorptz", "generalised")] for i in range(4))
+
+
 @pytest.mark.parametrize("kind, pattern", [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")])
 def test_patterns(spark, kind, pattern):
     r = np.random.default_rng(1)
