@@ -185,6 +185,12 @@ def test_gru_and_lm(spark, docs, empty):
     assert lm.score(empty, counts, lm.train(empty, model)).count() == 0
 
 
+def test_lm_settings():
+    # The settings whose quality the README states; a faster network has to be measured anew.
+    p = gru.fresh(lm.CLASSES)
+    assert p["U"].shape == (16, 48) and p["W"].shape == (16, 128) and (gru.WINDOW, gru.LANES) == (24, 512)
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, f"some words number {i} " + ("you idiot clown" if i % 4 == 0 else "nice and kind"), "s") for i in range(200)]
     some = spark.createDataFrame(rows, SCHEMA)
