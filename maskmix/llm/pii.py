@@ -1,10 +1,10 @@
 """Personal data and the terms that give it away (DataFrame operations only).
 
 Base: emails, IP addresses, card numbers and phone numbers are found by pattern. Method: for every protected
-entity (a base value) the corpus gives the terms that stand near it; the pointwise mutual information of term
+entity (a base value) the corpus gives the terms of the documents that hold it; the pointwise mutual information of term
 and entity, as a share of the entity's own information content, is the term's disclosure. In a document that
-holds the entity, terms of its surroundings that disclose at least ``generalise_at`` of it are generalised to
-their shape, at least ``remove_at`` removed. No entity has to recur: the share of a term's texts that hold the
+holds the entity, terms that disclose at least ``generalise_at`` of it are generalised to
+their shape, at least ``remove_at`` removed, wherever in the text they stand. No entity has to recur: the share of a term's texts that hold the
 entity is taken at the lower end of its Wilson interval, so that few texts prove less than many. Equal texts
 count once, so that copies of one document prove nothing.
 
@@ -17,7 +17,7 @@ results are replaced. Offsets are code points, ends exclusive. Base spans always
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskmix.llm.common import documents, save
@@ -38,9 +38,8 @@ VALID = {
     "card": "length(regexp_replace(x.m, '[^0-9]', '')) between 13 and 19 and luhn_check(regexp_replace(x.m, '[^0-9]', ''))",
     "phone": "length(regexp_replace(x.m, '[^0-9]', '')) between 9 and 15",
 }
-#: A term is at least three letters or digits; context is this many code points either side of an entity.
+#: A term is at least three letters or digits.
 TERM = r"[\p{L}\p{N}]{3,}+"
-CONTEXT = 120
 HITS = "array<struct<s:int,m:string>>"
 #: Standard deviations of the Wilson interval (95 %).
 Z = 1.96
@@ -71,7 +70,7 @@ def row_key(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
 
 def term_set(text: str) -> Column:
-    """The different terms of a text, lower-cased one by one as those near an entity are."""
+    """The different terms of a text, lower-cased one by one as those of ``positions`` are."""
     return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower))
 
 
@@ -82,18 +81,6 @@ def lower_bound(n: Column, of: Column) -> Column:
     return (p + Z * Z / (2 * of) - Z * spread) / (1 + Z * Z / of)
 
 
-def contexts(based: DataFrame, text: str = "text") -> DataFrame:
-    """One row per entity of a document and term near it: ``_key, _text, entity, term, s, e``."""
-    rows = based.where(F.size("base") > 0).select("_key", "_text", "base", text, F.explode("base").alias("b")).withColumn("entity", entity_of(F.col("b")))
-    rows = rows.withColumn("lo", F.greatest(F.col("b.s") - CONTEXT, F.lit(0)))
-    rows = rows.withColumn("left", F.expr(f"substring(`{text}`, lo + 1, b.s - lo)")).withColumn("right", F.expr(f"substring(`{text}`, b.e + 1, {CONTEXT})")).drop(text)
-    # A term cut by the edge of the context is left out.
-    left = f"transform(filter({matches('left', TERM)}, x -> x.s > 0 or lo = 0), x -> named_struct('term', lower(x.m), 's', lo + x.s, 'e', lo + x.s + length(x.m)))"
-    right = f"transform(filter({matches('right', TERM)}, x -> x.s + length(x.m) < {CONTEXT}), x -> named_struct('term', lower(x.m), 's', b.e + x.s, 'e', b.e + x.s + length(x.m)))"
-    rows = rows.withColumn("terms", F.expr(f"filter(concat({left}, {right}), y -> not exists(base, z -> z.s < y.e and y.s < z.e))"))
-    return rows.select("_key", "_text", "entity", F.explode("terms").alias("y")).select("_key", "_text", "entity", "y.*")
-
-
 def entity_of(b: Column) -> Column:
     return F.concat(b["k"], F.lit(":"), F.when(b["k"].isin("card", "phone"), F.regexp_replace(b["m"], "[^0-9]", "")).otherwise(F.lower(b["m"])))
 
@@ -101,32 +88,52 @@ def entity_of(b: Column) -> Column:
 def term_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``term, n_term`` and one row ``n_all``, both over different texts."""
     copies = save(docs.groupBy(F.xxhash64(F.col(text)).alias("_text")).agg(F.count(F.lit(1)).alias("n")))
-    # A text that occurs n times counts an n-th each time, so that no text has to travel.
+    # A text that occurs n times counts an n-th each time; texts travel at most once, if the copies are too many to broadcast.
     rows = docs.select(F.xxhash64(F.col(text)).alias("_text"), F.col(text)).join(copies.where(F.col("n") > 1), "_text", "left")
     words = rows.select(F.explode(term_set(text)).alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("share"))
     return words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term")), copies.agg(F.count(F.lit(1)).alias("n_all"))
 
 
-def disclosures(near: DataFrame, docs: DataFrame, entities: DataFrame, text: str = "text", generalise_at: float = 0.75, remove_at: float = 0.9) -> DataFrame:
-    """``entity, term, disclosure, action`` for the terms that disclose too much."""
-    pairs = near.select("entity", "term", "_text").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+def disclosures(held: DataFrame, docs: DataFrame, text: str = "text", generalise_at: float = 0.75, remove_at: float = 0.9) -> DataFrame:
+    """``_text, term, action`` for the terms of the texts in ``held`` that disclose too much of one of their entities."""
+    entities = held.select("_text", F.explode("entities").alias("entity")).distinct()
+    numbers = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # The entities of one text only all have the same terms and figures: one stands for all.
+    alone = F.when(F.col("n_entity") == 1, F.concat(F.lit("text:"), F.col("_text"))).otherwise(F.col("entity"))
+    entities = save(entities.join(numbers, "entity").select("_text", alone.alias("entity"), "n_entity").distinct())
     terms, total = term_counts(docs, text)
-    rows = pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(total))  # one row
+    most = entities.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("most"))
+    # The bound is at most n_entity / n_term, so a term in more texts than this cannot reach generalise_at.
+    reach = lambda n: F.pow(n, F.lit(generalise_at)) * F.pow("n_all", F.lit(1 - generalise_at)) * 1.000001
+    rare = terms.join(F.broadcast(total)).join(F.broadcast(most)).where(F.col("n_term") <= reach(F.col("most"))).drop("most")  # one row each
+    words = held.select("_text", F.explode(term_set(text)).alias("term")).distinct().join(rare, "term")
+    pairs = save(words.join(entities, "_text").where(F.col("n_term") <= reach(F.col("n_entity"))))
+    rows = pairs.groupBy("entity", "term", "n_entity", "n_term", "n_all").agg(F.count(F.lit(1)).alias("n_both"))
     content = F.log2(F.col("n_all") / F.col("n_entity"))
     pmi = F.log2(lower_bound(F.col("n_both"), F.col("n_term"))) + content
     rows = rows.withColumn("disclosure", F.when(content > 0, pmi / F.greatest(content, F.lit(1e-9))).otherwise(F.lit(0.0)))
-    return rows.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove_at, F.lit("removed")).otherwise(F.lit("generalised")).alias("action"))
+    rows = rows.where(F.col("disclosure") >= generalise_at).select("entity", "term", F.when(F.col("disclosure") >= remove_at, F.lit("removed")).otherwise(F.lit("generalised")).alias("action"))
+    return pairs.select("_text", "entity", "term").join(rows, ["entity", "term"]).groupBy("_text", "term").agg(F.max("action").alias("action"))
+
+
+def positions(held: DataFrame, text: str = "text") -> DataFrame:
+    """One row per term of a text, wherever it stands: ``_key, _text, term, s, e``; ends are running sums, not quadratic."""
+    rows = held.select("_key", "_text", F.split(text, TERM).alias("p"), F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)).alias("h"))
+    rows = rows.select("_key", "_text", F.posexplode(F.expr("transform(h, (m, i) -> named_struct('gap', length(p[i]), 'm', m))")).alias("i", "x"))
+    end = F.sum(F.col("x.gap") + F.length("x.m")).over(Window.partitionBy("_key").orderBy("i")).cast("int")
+    return rows.withColumn("e", end).select("_key", "_text", F.lower("x.m").alias("term"), (F.col("e") - F.length("x.m")).alias("s"), "e")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> tuple[DataFrame, DataFrame]:
     """``docs`` plus ``base`` and ``_key``; and for documents with telling terms ``_key, extra`` (k, s, e, action)."""
     based = row_key(find_base(docs, text), id_col, text)
-    near = save(contexts(based, text))
-    entities = based.select("_text", F.explode(F.transform("base", entity_of)).alias("entity")).distinct()
-    entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    telling = disclosures(near, docs, entities, text, **limits)
-    spans = near.join(telling, ["entity", "term"]).groupBy("_key", "s", "e").agg(F.max("action").alias("action"))
+    held = based.where(F.size("base") > 0).select("_key", "_text", text, "base", F.array_distinct(F.transform("base", entity_of)).alias("entities"))
+    held = save(held.dropDuplicates(["_key"]))
+    told = save(disclosures(held, docs, text, **limits))
+    spans = positions(held.join(told.select("_text").distinct(), "_text", "left_semi"), text).join(told, ["_text", "term"])
     extra = spans.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("k"), "s", "e", "action"))).alias("extra"))
+    # Terms that touch a base span go with it.
+    extra = extra.join(held.select("_key", "base"), "_key").select("_key", F.expr("filter(extra, y -> not exists(base, z -> z.s < y.e and y.s < z.e))").alias("extra"))
     return based.drop("_text"), save(extra)
 
 
