@@ -174,34 +174,6 @@ def test_automaton_against_regex():
             assert found[i, k] == bool(re.fullmatch(g.replace("*", ".*").replace("?", "."), t))
 
 
-def test_gru_and_lm(spark, docs, empty):
-    p = gru.fresh(5, 4)
-    seqs = [np.array([1, 2, 3, 0], np.uint8), np.array([0], np.uint8), np.array([4] * 40 + [0], np.uint8)]
-    alone = [gru.log_likelihoods(p, [s])[0] for s in seqs]
-    assert np.allclose(gru.log_likelihoods(p, seqs), alone, atol=1e-4)
-    t = gru.Trainer(p, 0.02)
-    for _ in range(60):
-        t.learn(seqs)
-    assert gru.log_likelihoods(t.p, seqs).sum() > sum(alone)
-    counts, model = lm.statistics(docs)
-    rows = lm.score(docs, counts, lm.train(docs, model)).collect()
-    train = Counter()
-    for r in docs.collect():
-        if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 != 1:
-            train.update([*lm.words(r.text), b""])
-    n, v = sum(train.values()), len(train)
-    want = Counter(round(sum(np.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*lm.words(r.text), b""]), 6) for r in docs.collect())
-    assert Counter(round(r.base_score, 6) for r in rows) == want and all(r.score < 0 and r.train_tokens == n for r in rows)
-    counts, model = lm.statistics(empty)
-    assert lm.score(empty, counts, lm.train(empty, model)).count() == 0
-
-
-def test_lm_settings():
-    # The settings whose quality the README states; a faster network has to be measured anew.
-    p = gru.fresh(lm.CLASSES)
-    assert p["U"].shape == (16, 48) and p["W"].shape == (16, 128) and (gru.WINDOW, gru.LANES) == (24, 512)
-
-
 def test_toxicity(spark, docs, empty):
     rows = [(i, f"some words number {i} " + ("you idiot clown" if i % 4 == 0 else "nice and kind"), "s") for i in range(200)]
     some = spark.createDataFrame(rows, SCHEMA)
