@@ -9,6 +9,8 @@ a window's start (truncated backpropagation).
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import heapq
 
 import numpy as np
@@ -21,6 +23,21 @@ ROWS, PIECE = 512, 32
 LARGEST = 60.0
 
 
+@functools.cache
+def one_thread() -> None:
+    """Keep numpy's OpenBLAS to one thread in this process: on matrices this small, more of them spin more than they work."""
+    try:
+        with open("/proc/self/maps") as f:
+            libraries = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:
+        return
+    for path in libraries:
+        library = ctypes.CDLL(path)
+        for name in ("openblas_set_num_threads", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "scipy_openblas_set_num_threads64_"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def fresh(own: int, shared: int = 0, hidden: int = HIDDEN, seed: int = 0) -> dict[str, np.ndarray]:
     """Parameters for ``own`` classes of one symbol and ``shared`` classes of ``MEMBERS`` symbols."""
     r = np.random.default_rng(seed)

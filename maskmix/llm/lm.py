@@ -39,8 +39,8 @@ SINGLE, ENDINGS, OTHERS, SHARED = 39, 32, 16, 40
 GROUPS = 1 + SINGLE
 OWN = GROUPS + ENDINGS + OTHERS
 CLASSES = OWN + SHARED
-#: Documents taken together, lanes of a scoring pass, and the learning rates of start and pass.
-CHUNK, SCORING_LANES, WARM_RATE, RATE = 3000, 1024, 0.02, 0.004
+#: Documents taken together, and the learning rates of start and pass.
+CHUNK, WARM_RATE, RATE = 3000, 0.02, 0.004
 #: Steps of the histogram of counts for a factor of two.
 STEPS = 64
 
@@ -189,6 +189,7 @@ def train(docs: DataFrame, model: Model) -> Model:
     shared = spark.sparkContext.broadcast(model)
 
     def learn(batches):
+        gru.one_thread()
         model = shared.value
         trainer = gru.Trainer(model.network, RATE)
         held: list[np.ndarray] = []
@@ -246,6 +247,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     names = schema.names
 
     def run(batches):
+        gru.one_thread()
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
@@ -256,7 +258,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                     seqs.append(symbols)
                     rest.append(Counter(others))
                     sums.append((len(symbols), len(head), model.base[head].sum() + model.end_base, model.inner[head].sum()))
-                neural = gru.log_likelihoods(model.network, seqs, SCORING_LANES) / np.log(10)
+                neural = gru.log_likelihoods(model.network, seqs) / np.log(10)
                 n, known, base, inner = (list(c) for c in zip(*sums, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.array(inner) + neural, pa.float64()), _rest(rest, model.vocabulary)],
