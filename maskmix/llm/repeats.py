@@ -1,21 +1,27 @@
 """Repeated passages by sharded Aho-Corasick automata.
 
 1. Anchors: of the ``GRAM``-word runs in every ``WINDOW``-word window, the one with the smallest hash. Equal
-   windows have equal anchors, so a window that recurs has an anchor that recurs.
-2. Anchors that occur in two documents are found by an exchange of packed arrays (smallest and largest document
-   of each hash, reduced in every task first), and noted in a bitmap. The bitmap's size is bounded: more
-   recurring anchors than it has room for only make it let more windows through, never fewer.
-3. The words around noted anchors go to the anchor's shard, equal passages of a task as one row with a packed
-   list of places. A shard confirms the windows that occur in two documents, compiles them into an automaton
-   (its words are numbered, so a window is a string of ``WINDOW`` characters) and streams its passages through
-   it. Every window that starts in a smaller document is reported to the document's row.
-4. The reports of a row are joined to its text, and the covered words removed.
-
-Hot passages are reduced before the exchange, and their places are packed numbers; no step pairs documents.
+   windows have equal anchors, so a window that recurs has an anchor that recurs. Anchors that occur in two documents
+   are found by an exchange of packed arrays (smallest and largest document of each hash, reduced in every task
+   first), and noted in a bitmap.
+2. Passages are confirmed: the windows of noted anchors go through the same exchange by their own hash, and those that
+   occur in two documents are noted in a second bitmap. The bitmaps' size is bounded: more recurring hashes than they
+   have room for only make them let more through, never fewer.
+3. Automata are compiled from the confirmed passages, in shards by anchor: words are numbered, and a window is a
+   string of ``WINDOW`` letters with the smallest document that holds it. A shard is closed when it holds ``SHARD``
+   windows, so its memory does not grow with the input. An anchor with more than a ``HOT``-th of all occurrences is
+   dealt out by its windows.
+4. All documents are streamed: each noted run of a text goes to the automaton of its anchor (no other automaton can
+   match it, and text without a noted window matches none), and the automaton reports every window in it that
+   starts in a smaller document. Hashes only choose what is streamed; the automata compare the words themselves.
+5. The reports of a row are joined to its text, and the covered words removed.
+
+Equal passages of a task are one row with packed lists of places; no step pairs documents.
 
 Defined cases: null or empty text has no words; a row with a null id neither gives nor loses words; equal ids do
 not remove from each other; repeated rows get equal results; texts of any length are taken whole; an empty table
-gives no rows; ``remove`` carries unknown columns along and replaces columns named like its results.
+gives no rows; ids are whole numbers (others are an error, as they have no order here); ``remove`` carries other
+columns along, whatever their names, and replaces columns named like its results.
 """
 
 from __future__ import annotations
@@ -35,12 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskmix.llm.common import documents, save, shuffle_partitions
+from maskmix.llm.common import documents, packed, save, shuffle_partitions
 
 WINDOW, GRAM = 13, 6
 SPAN = WINDOW - GRAM + 1
-#: Slices of the bitmap, its largest size in bits (64 MB), and what a task holds before it passes it on.
-SLICES, LARGEST, HELD_ANCHORS, HELD_PASSAGES = 1024, 29, 1_000_000, 100_000
+#: The largest bitmap in bits (64 MB), and what a task holds before it passes it on.
+LARGEST, HELD_HASHES, HELD_PASSAGES = 29, 1_000_000, 100_000
+#: Windows of a shard; words that strings can number; share of the occurrences that makes an anchor hot.
+SHARD, LETTERS, HOT = 50_000, 0x10F000, 4096
 
 
 #: Bytes that are hashed at once, and the bases of the hashes.
@@ -99,10 +107,10 @@ def chunks(column: pa.Array):
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray):
-    """Hashes of the anchors of a chunk's texts: ``hash, row, first, last, base, starts, ends``.
+    """Hashes of the anchors of a chunk's texts: ``hash, row, first, last, base, starts, ends, words``.
 
     ``first`` and ``last`` are the windows of an anchor, ``SPAN`` at most, counted over the chunk's words;
-    ``base`` is the first word of each row, ``starts`` and ``ends`` are the words' bytes.
+    ``base`` is the first word of each row, ``starts`` and ``ends`` are the words' bytes, ``words`` their hashes.
     """
     word = np.concatenate([[False], ~SPACE[data], [False]])
     cut = np.zeros(len(data) + 1, bool)
@@ -113,7 +121,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     n = len(starts) - WINDOW + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none, base, starts, ends
+        return np.zeros(0, np.uint64), none, none, none, base, starts, ends, np.zeros(0, np.uint64)
     w = word_hashes(data, starts, ends)
     low = w[: len(w) - GRAM + 1]
     for k in range(1, GRAM):
@@ -129,40 +137,56 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     pieces = (last - first) // SPAN + 1
     number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first, last = np.repeat(first, pieces) + SPAN * number, np.repeat(last, pieces)
-    return low[first], row[first], first, np.minimum(last, first + SPAN - 1), base, starts, ends
+    return low[first], row[first], first, np.minimum(last, first + SPAN - 1), base, starts, ends, w
 
 
-def _reduce(h: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-    """Smallest and largest document by hash."""
+def windows(words: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """Hashes of the windows first to last of each piece, the number of the piece, and the window's first word."""
+    size = last - first + 1
+    piece = np.repeat(np.arange(len(first)), size)
+    at = first[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
+    h = words[at]
+    for k in range(1, WINDOW):
+        h = h * STEP + words[at + k]
+    return mix(h), piece, at
+
+
+def _reduce(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray):
+    """Smallest and largest document, and number of occurrences, by hash."""
     order = np.argsort(h, kind="stable")
-    h, lo, hi = h[order], lo[order], hi[order]
+    h, lo, hi, n = h[order], lo[order], hi[order], n[order]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[start], np.minimum.reduceat(lo, start), np.maximum.reduceat(hi, start)
+    return h[start], np.minimum.reduceat(lo, start), np.maximum.reduceat(hi, start), np.add.reduceat(n, start)
+
+
+PACKED = "slice int, h binary, lo binary, hi binary, n binary"
 
 
-def _packed(h, lo, hi):
-    slices = (h >> np.uint64(54)).astype(np.int64)  # 1024 slices by the top bits
-    cuts = np.searchsorted(slices, np.arange(SLICES + 1))
-    some = [i for i in range(SLICES) if cuts[i] < cuts[i + 1]]
+def _pack(slices: int, h, *columns):
+    """A row for each slice of the hashes, by their top bits."""
+    cuts = np.searchsorted(h, np.arange(1 << slices, dtype=np.uint64) << np.uint64(64 - slices))
+    cuts = np.append(cuts, len(h))
+    some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
     pack = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pack(h), pack(lo), pack(hi)], ["slice", "h", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *map(pack, (h, *columns))], ["slice", "h", "lo", "hi", "n"])
 
 
-def _anchor_rows(batches):
+def _exchanged(batches, slices: int, hashes):
+    """Hashes of the documents' texts, reduced as far as a task can; ``hashes`` gives those of a chunk, with their rows."""
     held, n = [], 0
 
     def rows():
         h, lo = np.concatenate([a for a, _ in held]), np.concatenate([d for _, d in held])
-        return _packed(*_reduce(h, lo, lo))
+        return _pack(slices, *_reduce(h, lo, lo, np.ones(len(h), np.int64)))
 
     for batch in batches:
         batch = batch.filter(batch.column(0).is_valid())
         docs = batch.column(0).to_numpy()
         for top, data, offsets in chunks(batch.column(1)):
-            h, row, *_ = anchors(data, offsets)
+            h, row = hashes(data, offsets)
             held.append((h, docs[top + row]))
             n += len(h)
-            if n >= HELD_ANCHORS:
+            if n >= HELD_HASHES:
                 yield rows()
                 held, n = [], 0
     if n:
@@ -184,66 +208,104 @@ def _runs(batches):
 
 
 def _recurring(batches):
+    """The hashes of each slice that two documents hold, with their occurrences."""
     for slice_, rows in _runs(batches):
-        h, lo, hi = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
-        h, lo, hi = _reduce(h, lo, hi)
-        h = h[lo != hi]
-        if len(h):
-            yield pa.RecordBatch.from_arrays([pa.array([slice_], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([h.tobytes()], pa.binary())], ["slice", "n", "h"])
+        h, lo, hi, n = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64)))
+        h, lo, hi, n = _reduce(h, lo, hi, n)
+        keep = lo != hi
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array([slice_], pa.int32()), pa.array([int(keep.sum())], pa.int64()), pa.array([int(n[keep].sum())], pa.int64()), pa.array([h[keep].tobytes()], pa.binary()), pa.array([n[keep].tobytes()], pa.binary())], ["slice", "kinds", "total", "h", "n"])
 
 
-def bitmap_of(recurring: DataFrame) -> tuple[np.ndarray, int]:
+def recurring(docs: DataFrame, slices: int, hashes) -> DataFrame:
+    """``slice, kinds, total, h, n`` of the hashes that two documents of ``docs`` (doc_id, text) hold."""
+    rows = docs.select("doc_id", "text").mapInArrow(lambda b: _exchanged(b, slices, hashes), PACKED)
+    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "slice").sortWithinPartitions("slice")
+    return save(rows.mapInArrow(_recurring, "slice int, kinds long, total long, h binary, n binary"))
+
+
+def bitmap_of(found: DataFrame, slices: int) -> tuple[np.ndarray, int]:
     """Bits by the hashes' top bits; each slice is made where its hashes are."""
-    n = recurring.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(LARGEST, max(16, (16 * n).bit_length()))
+    n = found.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    bits = min(LARGEST, max(slices + 6, (16 * n).bit_length()))
 
     def run(batches):
         for batch in batches:
-            for slice_, _, h in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                at = (np.frombuffer(h, np.uint64) >> np.uint64(64 - bits)).astype(np.int64) - (slice_ << bits - 10)
-                part = np.zeros(1 << bits - 10, bool)
+            for slice_, h in zip(*[batch.column(c).to_pylist() for c in ("slice", "h")], strict=True):
+                at = (np.frombuffer(h, np.uint64) >> np.uint64(64 - bits)).astype(np.int64) - (slice_ << bits - slices)
+                part = np.zeros(1 << bits - slices, bool)
                 part[at] = True
                 yield pa.RecordBatch.from_arrays([pa.array([slice_], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())], ["slice", "bits"])
 
     out = np.zeros(1 << bits - 3, np.uint8)
-    size = 1 << bits - 13
-    for r in recurring.mapInArrow(run, "slice int, bits binary").toLocalIterator():
+    size = 1 << bits - slices - 3
+    for r in found.mapInArrow(run, "slice int, bits binary").toLocalIterator():
         out[r.slice * size : (r.slice + 1) * size] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return out, bits
 
 
+def hot_hashes(found: DataFrame, share: int = HOT) -> np.ndarray:
+    """Hashes with more than a ``share``-th of all occurrences: at most ``share``."""
+    total = found.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+
+    def run(batches):
+        for batch in batches:
+            for h, n in zip(*[batch.column(c).to_pylist() for c in ("h", "n")], strict=True):
+                h = np.frombuffer(h, np.int64)[np.frombuffer(n, np.int64) > total / share]
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64())], ["h"])
+
+    return np.sort(np.array([r.h for r in found.mapInArrow(run, "h long").collect()], np.int64).view(np.uint64))
+
+
 def noted(h: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     at = h >> np.uint64(64 - bits)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-PASSAGES = "shard int, words binary, docs binary, rows binary, starts binary"
+def noted_windows(data, offsets, bitmap, bits):
+    """Windows of a chunk's noted anchors: ``hash, row, anchor, piece, first word, base, starts, ends``."""
+    h, row, first, last, base, starts, ends, words = anchors(data, offsets)
+    keep = np.flatnonzero(noted(h, bitmap, bits))
+    window, piece, at = windows(words, first[keep], last[keep])
+    return window, row[keep][piece], h[keep][piece], piece, at, base, starts, ends
 
 
-def _passage_rows(batches, bitmap, bits, shards):
+PASSAGES = "anchor long, words binary, docs binary, rows binary, starts binary"
+
+
+def _passage_rows(batches, anchor_bits, window_bits, hot):
     held: dict = defaultdict(lambda: ([], [], []))
     n = 0
 
     def rows():
         keys = list(held)
         pack = lambda i, t: pa.array([array(t, held[k][i]).tobytes() for k in keys], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.binary()), pack(0, "q"), pack(1, "q"), pack(2, "i")], ["shard", "words", "docs", "rows", "starts"])
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.int64()), pa.array([w for _, w in keys], pa.binary()), pack(0, "q"), pack(1, "q"), pack(2, "i")], ["anchor", "words", "docs", "rows", "starts"])
 
     for batch in batches:
         batch = batch.filter(batch.column(0).is_valid())
         ids, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for top, data, offsets in chunks(batch.column(1)):
-            h, row, first, last, base, starts, ends = anchors(data, offsets)
-            keep = np.flatnonzero(noted(h, bitmap, bits))
-            h, row, first, last = h[keep], row[keep], first[keep], last[keep]
-            line = data.tobytes() if len(keep) else b""
-            places = (top + row).tolist(), (first - base[row]).tolist(), starts[first].tolist(), ends[last + WINDOW - 1].tolist()
-            for shard, i, at, a, b in zip(((h >> np.uint64(11)) % np.uint64(shards)).tolist(), *places, strict=True):
-                docs, keys, firsts = held[shard, b" ".join(line[a:b].split())]
+            window, row, anchor, piece, at, base, starts, ends = noted_windows(data, offsets, *anchor_bits)
+            keep = np.flatnonzero(noted(window, *window_bits))
+            if not len(keep):
+                continue
+            window, row, anchor, piece, at = window[keep], row[keep], anchor[keep], piece[keep], at[keep]
+            # Runs of confirmed windows of an anchor; a hot anchor's windows go by themselves.
+            alone = np.isin(anchor, hot)
+            new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1) | alone[1:]])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at)) - 1
+            key = np.where(alone, window, anchor)[first].view(np.int64)
+            line = data.tobytes()
+            r, a = row[first], at[first]
+            places = (top + r).tolist(), (a - base[r]).tolist(), starts[a].tolist(), ends[at[last] + WINDOW - 1].tolist()
+            for k, i, start, lo, hi in zip(key.tolist(), *places, strict=True):
+                docs, keys, firsts = held[k, b" ".join(line[lo:hi].split())]
                 docs.append(ids[i])
                 keys.append(own[i])
-                firsts.append(at)
-            n += len(keep)
+                firsts.append(start)
+            n += len(first)
             if n >= HELD_PASSAGES:
                 yield rows()
                 held.clear()
@@ -252,99 +314,114 @@ def _passage_rows(batches, bitmap, bits, shards):
         yield rows()
 
 
-def unpacked(places: list, i: int, kind: str) -> list[int]:
-    return [x for p in places for x in memoryview(p[i]).cast(kind)]
-
-
-def _find(rows):
-    """Reports of one shard: row, start of a passage, and the mask of its windows to remove."""
-    numbers: dict[bytes, str] = {}
+def numbered(passages: list[bytes]) -> list:
+    """Each passage as one letter a word: strings, or tuples of numbers where there are more words than letters."""
+    numbers: dict[bytes, int] = {}
+    made = [[numbers.setdefault(w, len(numbers)) for w in words.split(b" ")] for words in passages]
+    if len(numbers) > LETTERS:
+        return [tuple(x) for x in made]
+    letters = [chr(i + 1 if i < 0xD7FF else i + 0x801) for i in range(len(numbers))]  # without surrogates
+    return ["".join([letters[i] for i in x]) for x in made]
 
-    def code(word: bytes) -> str:
-        i = len(numbers)
-        numbers[word] = c = chr(i + 1 if i < 0xD7FF else i + 0x801)  # without surrogates
-        return c
 
-    # Equal passages of different tasks are one from here on.
-    merged: dict[bytes, list] = {}
-    for words, *places in rows:
-        merged.setdefault(words, []).append(places)
-    passages, least, again = [], {}, set()
-    for words, places in merged.items():
-        docs = unpacked(places, 0, "q")
-        text = "".join([numbers.get(w) or code(w) for w in words.split(b" ")])
-        lo = min(docs)
-        several = lo != max(docs)
-        passages.append((text, lo, docs, places))
+def compiled(texts: list, least: list[int]):
+    """The automaton of the windows of the passages, each with the smallest document that holds it."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS) if texts and isinstance(texts[0], str) else ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    values: list[int] = []  # the automaton's own numbers are of 32 bits in some builds
+    for i in sorted(range(len(texts)), key=least.__getitem__):
+        text = texts[i]
         for j in range(len(text) - WINDOW + 1):
             w = text[j : j + WINDOW]
-            old = least.get(w)
-            if old is None:
-                least[w] = lo
-                if several:
-                    again.add(w)
-            else:
-                if old != lo or several:
-                    again.add(w)
-                if lo < old:
-                    least[w] = lo
-    if not again:
-        return
-    automaton = ahocorasick.Automaton()
-    for w in again:
-        automaton.add_word(w, least[w])
+            if not automaton.exists(w):  # an earlier passage has a smaller document
+                automaton.add_word(w, len(values))
+                values.append(least[i])
     automaton.make_automaton()
-    for text, lo, docs, places in passages:
-        found = [(1 << end - WINDOW + 1, first) for end, first in automaton.iter(text)]
-        if not found:
-            continue
+    return automaton, values
+
+
+def opened(places: list, i: int, kind: str) -> list[int]:
+    return [x for p in places for x in memoryview(p[i]).cast(kind)]
+
+
+def _find(merged: dict[bytes, list]):
+    """Reports of one shard: document, row, start of a passage, and the mask of its windows to remove."""
+    docs = [opened(places, 0, "q") for places in merged.values()]
+    least = [min(d) for d in docs]
+    texts = numbered(list(merged))
+    automaton, values = compiled(texts, least)
+    for text, lo, ids, places in zip(texts, least, docs, merged.values(), strict=True):
+        found = [(1 << end - WINDOW + 1, values[v]) for end, v in automaton.iter(text)]
         sure = sum(bit for bit, first in found if first < lo)
         rest = [(bit, first) for bit, first in found if first >= lo]
-        if rest and len(docs) > 1:
+        if rest and len(ids) > 1:
             # Only the smallest documents keep what the others lose.
             high = max(first for _, first in rest)
             all_ = sure + sum(bit for bit, _ in rest)
-            masks = [all_ if d > high else sure + sum(bit for bit, first in rest if first < d) for d in docs]
+            masks = [all_ if d > high else sure + sum(bit for bit, first in rest if first < d) for d in ids]
         elif sure:
-            masks = [sure] * len(docs)
+            masks = [sure] * len(ids)
         else:
             continue
-        yield unpacked(places, 1, "q"), unpacked(places, 2, "i"), masks
+        yield ids, opened(places, 1, "q"), opened(places, 2, "i"), masks
+
+
+def _shards(batches):
+    """Equal passages of different tasks as one, in shards of whole anchors."""
+    merged: dict[bytes, list] = {}
+    size = 0
+    for _, rows in _runs(batches):
+        for words, *places in rows:
+            if words not in merged:
+                size += words.count(b" ") + 2 - WINDOW
+            merged.setdefault(words, []).append(places)
+        if size >= SHARD:
+            yield merged
+            merged, size = {}, 0
+    if merged:
+        yield merged
 
 
 def _reports(batches):
-    row, start, mask = [], [], []
+    doc, row, start, mask = [], [], [], []
 
     def rows():
         some = [i for i, m in enumerate(mask) if m]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for i in some], t) for x, t in ((row, pa.int64()), (start, pa.int32()), (mask, pa.int32()))], ["row", "start", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for i in some], t) for x, t in ((doc, pa.int64()), (row, pa.int64()), (start, pa.int32()), (mask, pa.int32()))], ["doc", "row", "start", "mask"])
 
     gc.disable()  # a shard's many small lists hold no cycles
     try:
-        for _, group in _runs(batches):
-            for keys, starts, masks in _find(group):
-                row += keys
-                start += starts
-                mask += masks
+        for shard in _shards(batches):
+            for found in _find(shard):
+                for held, more in zip((doc, row, start, mask), found, strict=True):
+                    held += more
                 if len(row) >= 50_000:
                     yield rows()
-                    row, start, mask = [], [], []
+                    doc, row, start, mask = [], [], [], []
         yield rows()
     finally:
         gc.enable()
 
 
 def reports(docs: DataFrame) -> DataFrame:
-    """``row, start, mask``: windows to remove, of ``docs`` (doc_id, text, _row)."""
+    """``doc, row, start, mask``: windows to remove, of ``docs`` (doc_id, text, _row)."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    found = docs.select("doc_id", "text").mapInArrow(_anchor_rows, "slice int, h binary, lo binary, hi binary")
-    found = save(found.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_recurring, "slice int, n long, h binary"))
-    bitmap, bits = bitmap_of(found)
-    shared = spark.sparkContext.broadcast(bitmap)
-    shards = 16 * parts
-    passages = docs.select("doc_id", "text", "_row").mapInArrow(lambda b: _passage_rows(b, shared.value, bits, shards), PASSAGES)
-    return passages.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_reports, "row long, start int, mask int")
+    slices = max(10, (4 * parts).bit_length())  # more partitions, smaller slices
+
+    def of_anchors(data, offsets):
+        h, row, *_ = anchors(data, offsets)
+        return h, row
+
+    found = recurring(docs, slices, of_anchors)
+    by_anchor, hot = spark.sparkContext.broadcast(bitmap_of(found, slices)), hot_hashes(found)
+
+    def of_windows(data, offsets):
+        h, row, *_ = noted_windows(data, offsets, *by_anchor.value)
+        return h, row
+
+    by_window = spark.sparkContext.broadcast(bitmap_of(recurring(docs, slices, of_windows), slices))
+    passages = docs.select("doc_id", "text", "_row").mapInArrow(lambda b: _passage_rows(b, by_anchor.value, by_window.value, hot), PASSAGES)
+    return passages.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_reports, "doc long, row long, start int, mask int")
 
 
 RESULTS = ("n_words", "n_removed", "kept_sha256")
@@ -366,19 +443,22 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kept_tex
     """``docs`` plus ``n_words, n_removed, kept_sha256``, and the kept words as ``kept_text`` if it is named."""
     own = [*RESULTS, *([kept_text] if kept_text else [])]
     carried = [c for c in docs.columns if c not in own]
-    docs = docs.select(*carried, F.xxhash64(F.col(id_col), F.col(text)).alias("_row"))
-    found = reports(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), "_row"))
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must hold whole numbers")
+    rows = packed(docs, doc=F.col(id_col).cast("long"), key=F.xxhash64(F.col(text)))
+    found = reports(rows.select(F.col("doc").alias("doc_id"), F.col("row").getField(text).alias("text"), F.col("key").alias("_row")))
     # Equal rows report alike.
-    found = found.groupBy("row").agg(F.collect_set(F.struct("start", "mask")).alias("r")).select(F.col("row").alias("_row"), F.col("r.start").alias("_starts"), F.col("r.mask").alias("_masks"))
-    rows = docs.join(found, "_row", "left").select(*carried, F.col(text).alias("_text"), "_starts", "_masks")
+    found = found.groupBy("doc", F.col("row").alias("key")).agg(F.collect_set(F.struct("start", "mask")).alias("r")).select("doc", "key", F.col("r.start").alias("starts"), F.col("r.mask").alias("masks"))
+    rows = rows.join(found, ["doc", "key"], "left").select("row", "starts", "masks")
     kinds = {"n_words": T.LongType(), "n_removed": T.LongType()}
     schema = T.StructType([*[docs.schema[c] for c in carried], *[T.StructField(c, kinds.get(c, T.StringType())) for c in own]])
 
     def run(batches):
         for batch in batches:
             n, removed, sha, kept = [], [], [], []
-            texts = batch.column("_text").cast(pa.large_binary()).to_pylist()
-            for t, s, m in zip(texts, *[batch.column(c).to_pylist() for c in ("_starts", "_masks")], strict=True):
+            row = batch.column("row")
+            texts = row.field(text).cast(pa.large_binary()).to_pylist()
+            for t, s, m in zip(texts, *[batch.column(c).to_pylist() for c in ("starts", "masks")], strict=True):
                 words = (t or b"").split()
                 n.append(len(words))
                 if s:
@@ -392,7 +472,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kept_tex
                 if kept_text:
                     kept.append(line.decode())
             made = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.string())] if kept_text else [])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *made], [*carried, *own])
+            yield pa.RecordBatch.from_arrays([*[row.field(c) for c in carried], *made], [*carried, *own])
 
     return rows.mapInArrow(run, schema)
 

@@ -3,15 +3,12 @@
 import base64
 import hashlib
 import re
-import zlib
-from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from maskmix.llm import bpe, gru, lm, media, mixing, neardup, pii, quality, repeats, toxicity, urls
+from maskmix.llm import bpe, media, mixing, neardup, pii, quality, toxicity, urls
 from maskmix.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string"
@@ -64,12 +61,6 @@ def test_components(spark):
     assert {(r.node, r.root) for r in components(edges).collect()} == {(5, 2), (4, 2), (3, 2), (9, 7), (8, 7)}
 
 
-def test_repeats(docs, empty):
-    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in repeats.remove(docs.withColumn("n_words", F.lit("x")), kept_text="kept").collect())
-    assert got[0, 60, 0] == 1 and got[1, 60, 60] == 2 and got[None, 60, 0] == 1 and got[6, 60, 52] == 1 and got[2, 0, 0] == 1 and got[5, 5600, 0] == 1
-    assert repeats.remove(empty).count() == 0
-
-
 def test_pii(docs, empty, spark):
     got = {(r.doc_id, r.text): [(s.k, s.s, s.e) for s in r.base] for r in pii.spans_of(docs.withColumn("base", F.lit(1))).collect()}
     assert got[7, "é" * 50 + " mail a@b.cd +1 (743) 555-3824"] == [("email", 56, 62), ("phone", 63, 80)]
@@ -193,20 +184,3 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {0, 2, 4} and len(corpus_pipeline.STAGES) == 5
     assert hashlib.sha256((body[1] + " [email]").encode()).hexdigest() in {r.decoded_sha256 for r in got if r.doc_id == 2}
-
-
-def test_anchors_serve_every_window_once_and_spread():
-    """Texts with empty, null, repetitive and very long words; the same passage after different spacing."""
-    passage = " ".join(f"p{i}" for i in range(40))
-    texts = [" ".join(f"w{(i * 7919 + j) % 9973}" for j in range(300)) for i in range(50)] + [f"x \n\t {passage}", "y" * 300_000 + " " + passage, "", None, " ".join("a" * 100)]
-    of, hashes = {}, set()
-    for top, data, offsets in repeats.chunks(pa.array(texts, pa.string())):
-        h, row, first, last, base, _, _ = repeats.anchors(data, offsets)
-        assert ((last >= first) & (last - first < repeats.SPAN)).all()
-        hashes |= set(h.tolist())
-        for k in range(len(offsets) - 1):
-            words, mine = (texts[top + k] or "").encode().split(), row == k
-            served = [(x, a) for f, t, a in zip((first - base[row])[mine].tolist(), (last - base[row])[mine].tolist(), h[mine].tolist(), strict=True) for x in range(f, t + 1)]
-            assert [x for x, _ in served] == list(range(max(0, len(words) - repeats.WINDOW + 1)))
-            assert all(of.setdefault(tuple(words[x : x + repeats.WINDOW]), a) == a for x, a in served)
-    assert len({h >> 54 for h in hashes}) > 100
