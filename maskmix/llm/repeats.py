@@ -7,10 +7,10 @@
 2. Passages are confirmed: the windows of noted anchors go through the same exchange by their own hash, and those that
    occur in two documents are noted in a second bitmap. The bitmaps' size is bounded: more recurring hashes than they
    have room for only make them let more through, never fewer.
-3. Automata are compiled from the confirmed passages, in shards by anchor: words are numbered, and a window is a
-   string of ``WINDOW`` letters with the smallest document that holds it. A shard is closed when it holds ``SHARD``
-   windows, so its memory does not grow with the input. An anchor with more than a ``HOT``-th of all occurrences is
-   dealt out by its windows.
+3. Automata are compiled from the confirmed passages, in shards by anchor: windows are compared by their words, words
+   are numbered, and a passage is a string of letters, one a word, with the smallest document that holds its windows.
+   A shard is closed when it holds ``SHARD`` windows, so its memory does not grow with the input. An anchor with more
+   than a ``HOT``-th of all occurrences is dealt out by its windows.
 4. All documents are streamed: each noted run of a text goes to the automaton of its anchor (no other automaton can
    match it, and text without a noted window matches none), and the automaton reports every window in it that
    starts in a smaller document. Hashes only choose what is streamed; the automata compare the words themselves.
@@ -324,19 +324,44 @@ def numbered(passages: list[bytes]) -> list:
     return ["".join([letters[i] for i in x]) for x in made]
 
 
-def compiled(texts: list, least: list[int]):
-    """The automaton of the windows of the passages, each with the smallest document that holds it."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS) if texts and isinstance(texts[0], str) else ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    values: list[int] = []  # the automaton's own numbers are of 32 bits in some builds
-    for i in sorted(range(len(texts)), key=least.__getitem__):
-        text = texts[i]
+def confirmed(texts: list, docs: list[list[int]]) -> dict:
+    """The windows that two documents hold, by their words, each with the smallest of the documents."""
+    least, again = {}, set()
+    for text, ids in zip(texts, docs, strict=True):
+        lo = min(ids)
+        several = lo != max(ids)
         for j in range(len(text) - WINDOW + 1):
             w = text[j : j + WINDOW]
-            if not automaton.exists(w):  # an earlier passage has a smaller document
-                automaton.add_word(w, len(values))
-                values.append(least[i])
+            old = least.setdefault(w, lo)
+            if several or old != lo:
+                again.add(w)
+                if lo < old:
+                    least[w] = lo
+    return {w: least[w] for w in again}
+
+
+def compiled(texts: list, least: dict):
+    """The automaton of the confirmed passages: the longest runs of windows with one smallest document.
+
+    Its values are indices of ``(windows, smallest document)``. Every confirmed window of a text is in such a run
+    of that text, so the automaton finds it there, and wherever else the run stands.
+    """
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS) if texts and isinstance(texts[0], str) else ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    passages: dict = {}
+    for text in texts:
+        run, n = None, 0
+        for j in range(len(text) - WINDOW + 2):
+            first = least.get(text[j : j + WINDOW])  # the piece after the last window is too short to be one
+            if first == run:
+                n += 1
+                continue
+            if run is not None:
+                passages[text[j - n : j + WINDOW - 1]] = (n, run)
+            run, n = first, 1
+    for i, passage in enumerate(passages):
+        automaton.add_word(passage, i)
     automaton.make_automaton()
-    return automaton, values
+    return automaton, list(passages.values())
 
 
 def opened(places: list, i: int, kind: str) -> list[int]:
@@ -344,24 +369,24 @@ def opened(places: list, i: int, kind: str) -> list[int]:
 
 
 def _find(merged: dict[bytes, list]):
-    """Reports of one shard: document, row, start of a passage, and the mask of its windows to remove."""
+    """Reports of one shard: documents, rows, starts of a passage, and the masks of its windows to remove."""
     docs = [opened(places, 0, "q") for places in merged.values()]
-    least = [min(d) for d in docs]
     texts = numbered(list(merged))
-    automaton, values = compiled(texts, least)
-    for text, lo, ids, places in zip(texts, least, docs, merged.values(), strict=True):
-        found = [(1 << end - WINDOW + 1, values[v]) for end, v in automaton.iter(text)]
-        sure = sum(bit for bit, first in found if first < lo)
-        rest = [(bit, first) for bit, first in found if first >= lo]
-        if rest and len(ids) > 1:
-            # Only the smallest documents keep what the others lose.
-            high = max(first for _, first in rest)
-            all_ = sure + sum(bit for bit, _ in rest)
-            masks = [all_ if d > high else sure + sum(bit for bit, first in rest if first < d) for d in ids]
-        elif sure:
-            masks = [sure] * len(ids)
-        else:
+    automaton, values = compiled(texts, confirmed(texts, docs))
+    if not values:
+        return
+    for text, ids, places in zip(texts, docs, merged.values(), strict=True):
+        found: dict[int, int] = {}  # the windows of each smallest document
+        for end, i in automaton.iter(text):
+            n, first = values[i]
+            found[first] = found.get(first, 0) | (1 << n) - 1 << end - WINDOW - n + 2
+        if not found:
             continue
+        if len(found) == 1:
+            [(first, mask)] = found.items()
+            masks = [mask if d > first else 0 for d in ids]
+        else:
+            masks = [sum(mask for first, mask in found.items() if first < d) for d in ids]
         yield ids, opened(places, 1, "q"), opened(places, 2, "i"), masks
 
 
