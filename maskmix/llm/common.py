@@ -60,10 +60,6 @@ def discard(*saved: DataFrame) -> None:
             system.delete(where, True)
 
 
-def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    return df.mapInArrow(run, schema)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

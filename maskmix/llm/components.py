@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskmix.llm.common import save
+from maskmix.llm.common import discard, save
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (u, v long), root being the component's smallest node.
+    """``node, root`` for every node of ``edges`` (u, v long), root being the component's smallest node; saved.
 
     Each round moves every neighbour of a node to the smallest one it sees; only two sums reach the driver. The
-    stars are partial aggregates and joins on the node, whose other side has one row a node.
+    stars are partial aggregates and joins on the node, whose other side has one row a node, so that adaptive
+    execution can split the rows of a hub. What a round read is deleted after it.
     """
     edges = save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = save(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = save(small)
+        old, edges = edges, save(small)
+        discard(old, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     # Edges are stars now: from each node to the root.
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._saved_at = edges._saved_at
+    return out

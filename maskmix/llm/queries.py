@@ -22,5 +22,6 @@ ORACLES = {
     "op3_url_rules": urls.ORACLE,
     "op5_repeated_phrases": repeats.ORACLE,
     "op6_host_rules": quality.ORACLE,
+    "op8_fast_similarity": neardup.ORACLE,
     "op9_curriculum_mix": mixing.ORACLE,
 }
