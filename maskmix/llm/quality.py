@@ -2,12 +2,15 @@
 
 Every document is judged by text rules; failures are aggregated by host (here the source), each host's failure
 rate is shrunk by a beta prior fitted to all hosts by the method of moments, and the host's verdict is joined
-back to its documents. Counting is a partial aggregate, so a hot host is a few rows per task; the join back
-has one row per host on one side and narrow rows on the other, which adaptive execution can split.
+back to its documents. Counting is a partial aggregate, so a hot host is a few rows per task. Verdicts come back by
+broadcast: those of the hosts with more than a ``SHARE``-th of all documents, of which there are fewer than
+``SHARE``, and the rejections of the other hosts if they are ``FEW`` at most. More rejections than that are joined
+by host, with the documents of the large hosts dealt out over many keys, so no key holds more than a ``SHARE``-th of
+the rows; texts are only shuffled there.
 
 Defined cases: null or empty text has no words and fails; a null host is a host of its own; ties and repeated
-rows are judged alike, row by row; an empty table gives no rows; unknown columns are carried along, but
-columns named like the results are replaced.
+rows are judged alike, row by row; an empty table gives no rows; other columns are carried along, whatever their
+names, but columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskmix.llm.common import WORD, documents, let, save
+from maskmix.llm.common import WORD, documents, let, packed, save, unpacked
 
 SYMBOLS = r"[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -23,6 +26,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 WINDOW, LEAST_WORDS, REPEAT_PERCENT, SYMBOL_PERCENT, DUP_LINE_PERCENT = 5, 10, 20, 10, 30
 #: A host is rejected when its shrunk failure rate is above this.
 HOST_LIMIT = 0.6
+#: Large hosts have more than this share of the documents; rejections that are broadcast; keys of a large host's rows.
+SHARE, FEW, DEALT = 10_000, 100_000, 1024
 
 
 def _repeated(words):
@@ -45,15 +50,15 @@ def _repeated(words):
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus the five measures."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
+    rows = packed(docs, body=F.coalesce(F.col(text), F.lit("")))
+    lines = F.filter(F.split("body", "\n"), lambda x: x.rlike(WORD))
     values = let(
-        F.regexp_extract_all(body, F.lit(WORD), F.lit(0)),
+        F.regexp_extract_all("body", F.lit(WORD), F.lit(0)),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated(w).cast("long").alias("n_repeat_words")),
     )
-    rest = F.struct(F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    out = docs.drop(*MEASURES).withColumns({"_v": values, "_r": rest})
-    return out.withColumns({c: F.col(f"_v.{c}") if c in ("n_words", "word_chars", "n_repeat_words") else F.col(f"_r.{c}") for c in MEASURES}).drop("_v", "_r")
+    rest = F.struct(F.regexp_count("body", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+    rows = rows.select("row", values.alias("v"), rest.alias("r"))
+    return rows.select(*unpacked(rows, MEASURES), *[F.col("r" if c in ("n_symbols", "n_dup_lines") else "v").getField(c).alias(c) for c in MEASURES])
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def judge(measured: DataFrame) -> DataFrame:
 
 def host_verdicts(judged: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """One row per host: documents, failures, shrunk rate, ``host_ok``. The prior is one row, joined by broadcast."""
-    hosts = judged.groupBy(F.col(host).isNull().alias("_null"), F.coalesce(host, F.lit("")).alias("_host"))
+    hosts = judged.groupBy(F.col(host).isNull().alias("_null"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"))
     hosts = hosts.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("rule_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
@@ -77,15 +82,30 @@ def host_verdicts(judged: DataFrame, host: str = "source", limit: float = HOST_L
 
 def with_verdict(judged: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """``judged`` plus ``kept``."""
-    verdicts = host_verdicts(judged, host, limit).select("_null", "_host", "host_ok")
-    rows = judged.drop("kept").withColumns({"_null": F.col(host).isNull(), "_host": F.coalesce(host, F.lit(""))})
-    return rows.join(verdicts, ["_null", "_host"]).withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("_null", "_host", "host_ok")
+    verdicts = save(host_verdicts(judged, host, limit))
+    total = verdicts.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    name = F.when(~F.col("_null"), F.col("_host")).alias("host")
+    large = verdicts.where(F.col("n_docs") * SHARE > total).select(name, F.col("host_ok").alias("large_ok"))
+    small = verdicts.where((F.col("n_docs") * SHARE <= total) & ~F.col("host_ok")).select(name.alias("bad_host"), F.lit(True).alias("bad"))
+    rows = packed(judged.drop("kept"), own=F.col(host).cast("string"), failed=F.col("base_failed"))
+    rows = rows.join(F.broadcast(large), F.col("own").eqNullSafe(F.col("host")), "left").drop("host")
+    same = F.col("own").eqNullSafe(F.col("bad_host"))
+    if small.limit(FEW + 1).count() <= FEW:
+        rows = rows.join(F.broadcast(small), same, "left")
+    else:
+        # Rows of large hosts have their verdict: they get keys that match nothing.
+        dealt = F.when(F.col("large_ok").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(F.struct("row")), F.lit(DEALT)))
+        rows = rows.withColumn("dealt", dealt).join(small.withColumn("none", F.lit(0)).hint("merge"), same & (F.col("dealt") == F.col("none")), "left")
+    good = F.coalesce("large_ok", ~F.col("bad"), F.lit(True))
+    return rows.select(*unpacked(rows), (~F.col("failed") & good).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that stay, with their own columns."""
-    judged = save(judge(measure(docs, text)).select(*docs.columns, "base_failed", "rule_failed"))
-    return with_verdict(judged, host, limit).where("kept").select(*docs.columns)
+    rows = packed(docs, text=F.col(text), host=F.col(host))
+    judged = save(judge(measure(rows)).select("row", "host", "base_failed", "rule_failed"))
+    kept = with_verdict(judged, "host", limit).where("kept")
+    return kept.select(*unpacked(kept))
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
