@@ -8,8 +8,10 @@ Hot sources: the hash order is cut into 4096 buckets a source. Offsets are sums
 prefix sum of the source's earlier buckets, so no task ever holds a whole source.
 
 Defined cases: null text has size 0; a null source is a source of its own and last in order; an empty text is
-taken 0 words; repeated rows are each laid out (equal rows may swap places); an empty table gives no rows;
-columns the operator does not know are carried along (its own columns replace columns of the same name).
+taken 0 words; rows without an id are ordered by their text; rows of one id and size are ordered by their text, and
+rows equal in all of it may swap places, which changes no result; an empty table gives no rows; schedules must not be
+negative and are scaled to an integral of 1; other columns are carried along, whatever their names (``sized`` and
+``lay_out`` replace columns named like their results).
 """
 
 from __future__ import annotations
@@ -18,11 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskmix.llm.common import WORD, documents, let, save
+from maskmix.llm.common import WORD, documents, let, packed, save, unpacked
 
 #: Relative rate of consumption at the start and the end of training, by place of the source's weight.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-OWN = ("size", "source_size", "target", "demand", "offset", "taken", "rate_0", "rate_1")
+OWN = ("source_size", "target", "demand", "offset", "taken", "rate_0", "rate_1")
+
+
+def scaled(schedules) -> list[tuple[float, float]]:
+    """Schedules with an integral of 1 over training."""
+    if any(min(s) < 0 or sum(s) <= 0 for s in schedules):
+        raise ValueError("a schedule must not be negative and needs a positive integral")
+    return [(2 * a / (a + b), 2 * b / (a + b)) for a, b in schedules]
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, schedules=SCHEDULES) -> DataFrame:
@@ -31,6 +40,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     Water filling in closed form: in order of cap/weight, a prefix of the sources stops at its cap and the
     rest share what is left by weight; the prefix ends at the first source whose share is below its cap.
     """
+    schedules = scaled(schedules)
     every = W.partitionBy(F.lit(0))
     ordinal = F.row_number().over(every.orderBy("_null", "_source")) - 1
     pick = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (F.pmod(F.col("_ix"), F.lit(len(values))) + 1).cast("int"))
@@ -48,24 +58,48 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     return rows.select("_null", "_source", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("demand"), "rate_0", "rate_1")
 
 
+def words_of(text: str):
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.drop("size").withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
+    """``docs`` plus ``size``."""
+    return docs.withColumn("size", words_of(text))
 
 
-def lay_out(docs: DataFrame, id_col: str = "doc_id", source: str = "source", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, schedules=SCHEDULES) -> DataFrame:
-    """``docs`` (with ``size``) plus ``source_size, target, demand, offset, taken`` and the schedule."""
-    docs = docs.drop(*[c for c in OWN if c != "size"])
-    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"_null": F.col(source).isNull(), "_source": F.coalesce(source, F.lit("")), "_h": h, "_bucket": F.substring(h, 1, 3)})
+def order_key(id_col: str, text: str | None):
+    """Places of rows in their source's order; the text stands in for a missing id."""
+    named = F.col(id_col).cast("string")
+    return F.md5(F.coalesce(named, F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")))), F.lit("")) if text else F.coalesce(named, F.lit("")))
+
+
+def laid_out(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, schedules=SCHEDULES) -> DataFrame:
+    """``rows`` (row, size, source, h, tie) plus ``OWN``."""
+    rows = rows.withColumns({"_null": F.col("source").isNull(), "_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_bucket": F.substring("h", 1, 3)})
     parts = rows.groupBy("_null", "_source", "_bucket").agg(F.sum("size").alias("size"))
     targets = source_targets(parts, weights, share, cap, schedules)
     before = W.partitionBy("_null", "_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("_prefix", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size").join(targets, ["_null", "_source"])
-    inside = W.partitionBy("_null", "_source", "_bucket").orderBy("_h", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_null", "_source", "_bucket").orderBy("h", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, ["_null", "_source", "_bucket"])
     rows = rows.withColumn("offset", F.col("_prefix") + F.col("_inside"))
-    taken = sum((copy_taken(k) for k in range(1, -int(-cap // 1))), copy_taken(0))
-    return rows.withColumn("taken", taken).drop("_null", "_source", "_bucket", "_h", "_prefix", "_inside")
+    taken = sum((copy_taken(k) for k in range(1, copies(cap))), copy_taken(0))
+    return rows.withColumn("taken", taken).select("row", "size", *OWN)
+
+
+def copies(cap: float) -> int:
+    """Copies of a document that a source's target can take."""
+    return -int(-cap // 1)
+
+
+def lay_out(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str | None = None, **options) -> DataFrame:
+    """``docs`` (with ``size``) plus ``source_size, target, demand, offset, taken`` and the schedule.
+
+    ``text`` orders rows without an id, and rows that share one.
+    """
+    tie = F.xxhash64(text) if text else F.lit(0)
+    rows = laid_out(packed(docs, size=F.col("size"), source=F.col(source), h=order_key(id_col, text), tie=tie), **options)
+    return rows.select(*unpacked(rows, ("size", *OWN)), "size", *OWN)
 
 
 def copy_taken(k: int):
@@ -81,31 +115,37 @@ def position(k: int = 0):
     return F.when(copy_taken(k) > 0, t)
 
 
-def mix(docs: DataFrame, text: str = "text", cap: float = 2.0, **options) -> DataFrame:
+def in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """Range-sorted by training position."""
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", cap: float = 2.0, **options) -> DataFrame:
     """The mixed documents, one row per copy taken, range-sorted by training position.
 
     The copy that meets the end of its source's demand is cut after its last taken word.
     """
-    columns = [c for c in docs.columns]
-    rows = lay_out(sized(docs, text), cap=cap, **options)
-    copies = F.array(*[F.struct(position(k).alias("at"), copy_taken(k).alias("words")) for k in range(-int(-cap // 1))])
-    rows = rows.withColumn("_copy", F.explode(F.filter(copies, lambda c: c["words"] > 0)))
+    rows = packed(docs, size=words_of(text), source=F.col(source), h=order_key(id_col, text), tie=F.xxhash64(text))
+    rows = laid_out(rows, cap=cap, **options)
+    taken = F.array(*[F.struct(position(k).alias("at"), copy_taken(k).alias("words")) for k in range(copies(cap))])
+    rows = rows.withColumn("copy", F.explode(F.filter(taken, lambda c: c["words"] > 0))).withColumn("t", F.col("row").getField(text))
     # The gaps before the first words and those words, joined again.
-    parts = let(F.struct(F.split(text, WORD).alias("g"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w")), lambda p: F.array_join(F.transform(F.slice(p["w"], 1, F.col("_copy.words").cast("int")), lambda w, k: F.concat(F.get(p["g"], k), w)), ""))
-    cut = F.when(F.col("_copy.words") < F.col("size"), parts).otherwise(F.col(text))
-    rows = rows.withColumn(text, cut)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return rows.repartitionByRange("_copy.at", "doc_id").sortWithinPartitions("_copy.at", "doc_id").select(*columns)
+    parts = let(F.struct(F.split("t", WORD).alias("g"), F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w")), lambda p: F.array_join(F.transform(F.slice(p["w"], 1, F.col("copy.words").cast("int")), lambda w, k: F.concat(F.get(p["g"], k), w)), ""))
+    rows = rows.withColumn("t", F.when(F.col("copy.words") < F.col("size"), parts).otherwise(F.col("t"))).withColumns({"at": F.col("copy.at"), "id": F.col("row").getField(id_col)})
+    new = {text: F.col("t"), "n_chars": F.length("t").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return in_order(rows, "at", "id").select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = save(sized(documents(spark, sf_dir)).select("doc_id", "source", "size"))
-    return lay_out(docs).select("doc_id", "size", "source_size", "target", "taken", F.floor(position() * 1000000).cast("long").alias("position_ppm"))
+    docs = save(sized(documents(spark, sf_dir)).withColumn("h", order_key("doc_id", "text")).select("doc_id", "source", "size", "h"))
+    rows = laid_out(packed(docs, size=F.col("size"), source=F.col("source"), h=F.col("h"), tie=F.lit(0)))
+    ppm = [F.floor(position(k) * 1000000).cast("long") for k in range(copies(2.0))]
+    rows = rows.withColumns({"at": position(), "doc_id": F.col("row.doc_id"), "position_ppm": ppm[0], "second_ppm": ppm[1]})
+    return in_order(rows, "at", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position_ppm", "second_ppm")
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+WITH d AS (SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS h,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT sn, s, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY sn, s) - 1 AS ix FROM d GROUP BY sn, s),
 w AS (SELECT *, [5, 2, 1][(ix % 3 + 1)::INT]::BIGINT AS w, [1.5, 1.0, 0.5][(ix % 3 + 1)::INT]::DOUBLE AS r0, [0.5, 1.0, 1.5][(ix % 3 + 1)::INT]::DOUBLE AS r1, source_size * 2.0::DOUBLE AS cap FROM s),
@@ -117,6 +157,7 @@ t AS (SELECT sn, s, source_size, r0, r1, CASE WHEN first IS NULL OR row(cap / w,
 o AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.r0, t.r1, floor(t.target + 0.5)::BIGINT AS demand,
     coalesce(sum(d.size) OVER (PARTITION BY d.sn, d.s ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM d JOIN t ON d.sn = t.sn AND d.s = t.s)
 SELECT doc_id, size, source_size, target, (greatest(0, least(size, demand - o)) + greatest(0, least(size, demand - source_size - o)))::BIGINT AS taken,
-    CASE WHEN least(size, demand - o) > 0 THEN floor((CASE WHEN r1 = r0 THEN o / demand::DOUBLE ELSE (sqrt(r0 * r0 + 2.0::DOUBLE * (r1 - r0) * (o / demand::DOUBLE)) - r0) / (r1 - r0) END) * 1000000)::BIGINT END AS position_ppm
+    CASE WHEN least(size, demand - o) > 0 THEN floor((CASE WHEN r1 = r0 THEN o / demand::DOUBLE ELSE (sqrt(r0 * r0 + 2.0::DOUBLE * (r1 - r0) * (o / demand::DOUBLE)) - r0) / (r1 - r0) END) * 1000000)::BIGINT END AS position_ppm,
+    CASE WHEN least(size, demand - source_size - o) > 0 THEN floor((CASE WHEN r1 = r0 THEN (source_size + o) / demand::DOUBLE ELSE (sqrt(r0 * r0 + 2.0::DOUBLE * (r1 - r0) * ((source_size + o) / demand::DOUBLE)) - r0) / (r1 - r0) END) * 1000000)::BIGINT END AS second_ppm
 FROM o
 """
