@@ -8,11 +8,13 @@ their shape, at least ``remove_at`` removed, wherever in the text they stand. No
 entity is taken at the lower end of its Wilson interval, so that few texts prove less than many. Equal texts
 count once, so that copies of one document prove nothing.
 
-All counts are partial aggregates over (entity, term) or term; nothing is grouped by document but its own spans.
+All counts are partial aggregates over (entity, term) or term; nothing is grouped by document but its own spans. Rows
+without base spans pass through; only those with some, by the digest of their text, meet the spans.
 
 Defined cases: null text is empty and holds nothing; repeated rows get the same spans; the result has one row
-per input row; an empty table gives no rows; unknown columns are carried along, but columns named like the
-results are replaced. Offsets are code points, ends exclusive. Base spans always stay.
+per input row; an empty table gives no rows; other columns are carried along, whatever their names, but ``find_base``
+and ``spans_of`` replace columns named like their results. Offsets are code points, ends exclusive. Base spans
+always stay.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskmix.llm.common import documents, save
+from maskmix.llm.common import documents, packed, save, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each finds what the contract's pattern finds, leftmost first. A match starts at a run's start or where the
@@ -38,8 +40,8 @@ VALID = {
     "card": "length(regexp_replace(x.m, '[^0-9]', '')) between 13 and 19 and luhn_check(regexp_replace(x.m, '[^0-9]', ''))",
     "phone": "length(regexp_replace(x.m, '[^0-9]', '')) between 9 and 15",
 }
-#: A term is at least three letters or digits.
-TERM = r"[\p{L}\p{N}]{3,}+"
+#: A term is a run of letters or digits, short ones too.
+TERM = r"[\p{L}\p{N}]++"
 HITS = "array<struct<s:int,m:string>>"
 #: Standard deviations of the Wilson interval (95 %).
 Z = 1.96
@@ -56,17 +58,23 @@ def matches(text: str, pattern: str) -> str:
             'at', a.at + length(z.p[a.n]) + length(h), 'n', a.n + 1, 'out', concat(a.out, array(named_struct('s', a.at + length(z.p[a.n]), 'm', h)))), a -> a.out))[0]"""
 
 
-def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus ``base``: array of (k, s, e, m), by kind as listed, then start."""
+SPANS = "array<struct<k:string,s:int,e:int,m:string>>"
+EXTRA = "array<struct<k:string,s:int,e:int,action:string>>"
+
+
+def base_of(t: str = "t") -> Column:
+    """Array of (k, s, e, m), by kind as listed, then start, of the text ``t`` (not null)."""
     parts = []
     for k in KINDS:
         hits = f"case when {HOLDS[k]} then {matches('t', PATTERNS[k])} else cast(array() as {HITS}) end"
         parts.append(f"transform(filter({hits}, x -> {VALID[k]}), x -> named_struct('k', '{k}', 's', x.s, 'e', x.s + length(x.m), 'm', x.m))")
-    return docs.drop("base", "t").withColumn("t", F.coalesce(F.col(text), F.lit(""))).withColumn("base", F.expr(f"concat({', '.join(parts)})")).drop("t")
+    return F.expr(f"concat({', '.join(parts)})")
 
 
-def row_key(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text))).withColumn("_text", F.xxhash64(F.col(text)))
+def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` plus ``base``."""
+    rows = packed(docs, t=F.coalesce(F.col(text), F.lit(""))).withColumn("base", base_of())
+    return rows.select(*unpacked(rows, ("base",)), "base")
 
 
 def term_set(text: str) -> Column:
@@ -87,86 +95,91 @@ def entity_of(b: Column) -> Column:
 
 def term_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``term, n_term`` and one row ``n_all``, both over different texts."""
-    copies = save(docs.groupBy(F.xxhash64(F.col(text)).alias("_text")).agg(F.count(F.lit(1)).alias("n")))
+    texts = docs.select(F.xxhash64(F.col(text)).alias("x"), F.col(text).alias("t"))
+    copies = save(texts.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
     # A text that occurs n times counts an n-th each time; texts travel at most once, if the copies are too many to broadcast.
-    rows = docs.select(F.xxhash64(F.col(text)).alias("_text"), F.col(text)).join(copies.where(F.col("n") > 1), "_text", "left")
-    words = rows.select(F.explode(term_set(text)).alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("share"))
+    rows = texts.join(copies.where(F.col("n") > 1), "x", "left")
+    words = rows.select(F.explode(term_set("t")).alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("share"))
     return words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term")), copies.agg(F.count(F.lit(1)).alias("n_all"))
 
 
 def disclosures(held: DataFrame, docs: DataFrame, text: str = "text", generalise_at: float = 0.75, remove_at: float = 0.9) -> DataFrame:
-    """``_text, term, action`` for the terms of the texts in ``held`` that disclose too much of one of their entities."""
-    entities = held.select("_text", F.explode("entities").alias("entity")).distinct()
+    """``h, term, action`` for the terms of the texts in ``held`` (h, t, entities; h is the text's digest) that disclose
+    too much of one of their entities."""
+    entities = held.select("h", F.explode("entities").alias("entity")).distinct()
     numbers = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # The entities of one text only all have the same terms and figures: one stands for all.
-    alone = F.when(F.col("n_entity") == 1, F.concat(F.lit("text:"), F.col("_text"))).otherwise(F.col("entity"))
-    entities = save(entities.join(numbers, "entity").select("_text", alone.alias("entity"), "n_entity").distinct())
+    alone = F.when(F.col("n_entity") == 1, F.concat(F.lit("text:"), F.col("h"))).otherwise(F.col("entity"))
+    entities = save(entities.join(numbers, "entity").select("h", alone.alias("entity"), "n_entity").distinct())
     terms, total = term_counts(docs, text)
     most = entities.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("most"))
     # The bound is at most n_entity / n_term, so a term in more texts than this cannot reach generalise_at.
     reach = lambda n: F.pow(n, F.lit(generalise_at)) * F.pow("n_all", F.lit(1 - generalise_at)) * 1.000001
     rare = terms.join(F.broadcast(total)).join(F.broadcast(most)).where(F.col("n_term") <= reach(F.col("most"))).drop("most")  # one row each
-    words = held.select("_text", F.explode(term_set(text)).alias("term")).distinct().join(rare, "term")
-    pairs = save(words.join(entities, "_text").where(F.col("n_term") <= reach(F.col("n_entity"))))
+    words = held.select("h", F.explode(term_set("t")).alias("term")).distinct().join(rare, "term")
+    pairs = save(words.join(entities, "h").where(F.col("n_term") <= reach(F.col("n_entity"))))
     rows = pairs.groupBy("entity", "term", "n_entity", "n_term", "n_all").agg(F.count(F.lit(1)).alias("n_both"))
     content = F.log2(F.col("n_all") / F.col("n_entity"))
     pmi = F.log2(lower_bound(F.col("n_both"), F.col("n_term"))) + content
     rows = rows.withColumn("disclosure", F.when(content > 0, pmi / F.greatest(content, F.lit(1e-9))).otherwise(F.lit(0.0)))
     rows = rows.where(F.col("disclosure") >= generalise_at).select("entity", "term", F.when(F.col("disclosure") >= remove_at, F.lit("removed")).otherwise(F.lit("generalised")).alias("action"))
-    return pairs.select("_text", "entity", "term").join(rows, ["entity", "term"]).groupBy("_text", "term").agg(F.max("action").alias("action"))
+    return pairs.select("h", "entity", "term").join(rows, ["entity", "term"]).groupBy("h", "term").agg(F.max("action").alias("action"))
 
 
-def positions(held: DataFrame, text: str = "text") -> DataFrame:
-    """One row per term of a text, wherever it stands: ``_key, _text, term, s, e``; ends are running sums, not quadratic."""
-    rows = held.select("_key", "_text", F.split(text, TERM).alias("p"), F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)).alias("h"))
-    rows = rows.select("_key", "_text", F.posexplode(F.expr("transform(h, (m, i) -> named_struct('gap', length(p[i]), 'm', m))")).alias("i", "x"))
-    end = F.sum(F.col("x.gap") + F.length("x.m")).over(Window.partitionBy("_key").orderBy("i")).cast("int")
-    return rows.withColumn("e", end).select("_key", "_text", F.lower("x.m").alias("term"), (F.col("e") - F.length("x.m")).alias("s"), "e")
+def positions(held: DataFrame) -> DataFrame:
+    """One row per term of a text, wherever it stands: ``h, term, s, e``; ends are running sums, not quadratic."""
+    rows = held.select("h", F.split("t", TERM).alias("p"), F.regexp_extract_all("t", F.lit(TERM), F.lit(0)).alias("m"))
+    rows = rows.select("h", F.posexplode(F.expr("transform(m, (x, i) -> named_struct('gap', length(p[i]), 'm', x))")).alias("i", "x"))
+    end = F.sum(F.col("x.gap") + F.length("x.m")).over(Window.partitionBy("h").orderBy("i")).cast("int")
+    return rows.withColumn("e", end).select("h", F.lower("x.m").alias("term"), (F.col("e") - F.length("x.m")).alias("s"), "e")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> tuple[DataFrame, DataFrame]:
-    """``docs`` plus ``base`` and ``_key``; and for documents with telling terms ``_key, extra`` (k, s, e, action)."""
-    based = row_key(find_base(docs, text), id_col, text)
-    held = based.where(F.size("base") > 0).select("_key", "_text", text, "base", F.array_distinct(F.transform("base", entity_of)).alias("entities"))
-    held = save(held.dropDuplicates(["_key"]))
+def found(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
+    """``row, t, base, extra``: the packed row, its text (null as empty), and its spans."""
+    rows = packed(docs, t=F.coalesce(F.col(text), F.lit(""))).withColumn("base", base_of())
+    own = save(rows.where(F.size("base") > 0).withColumn("h", F.md5("t")))
+    held = save(own.select("h", "t", "base", F.array_distinct(F.transform("base", entity_of)).alias("entities")).dropDuplicates(["h"]))
     told = save(disclosures(held, docs, text, **limits))
-    spans = positions(held.join(told.select("_text").distinct(), "_text", "left_semi"), text).join(told, ["_text", "term"])
-    extra = spans.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("k"), "s", "e", "action"))).alias("extra"))
+    spans = positions(held.join(told.select("h").distinct(), "h", "left_semi")).join(told, ["h", "term"])
+    extra = spans.groupBy("h").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("k"), "s", "e", "action"))).alias("extra"))
     # Terms that touch a base span go with it.
-    extra = extra.join(held.select("_key", "base"), "_key").select("_key", F.expr("filter(extra, y -> not exists(base, z -> z.s < y.e and y.s < z.e))").alias("extra"))
-    return based.drop("_text"), save(extra)
+    extra = save(extra.join(held.select("h", "base"), "h").select("h", F.expr("filter(extra, y -> not exists(base, z -> z.s < y.e and y.s < z.e))").alias("extra")))
+    none = F.expr(f"cast(array() as {EXTRA})")
+    own = own.join(extra, "h", "left").select("row", "t", "base", F.coalesce("extra", none).alias("extra"))
+    return rows.where(F.size("base") == 0).select("row", "t", F.expr(f"cast(array() as {SPANS})").alias("base"), none.alias("extra")).union(own)
 
 
 def joined(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat_ws(':', x.k, x.s, x.e)), ',')"
 
 
-def spans_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+def spans_of(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """``docs`` plus ``base`` and ``extra``."""
-    based, extra = find(docs.drop("extra", "_key", "_text"), id_col, text, **limits)
-    return based.join(extra, "_key", "left").drop("_key").withColumn("extra", F.coalesce("extra", F.expr("cast(array() as array<struct<k:string,s:int,e:int,action:string>>)")))
+    rows = found(docs, text, **limits)
+    return rows.select(*unpacked(rows, ("base", "extra")), "base", "extra")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The documents with base spans replaced by their kind, and telling terms generalised or removed.
 
     Overlapping spans are replaced as one, by the first one's label. A generalised term becomes its shape:
-    a number, a name (if capitalised) or a word.
+    a number, a name (if capitalised) or a word. ``n_chars`` follows the text; a null text stays null.
     """
-    rows = spans_of(docs, id_col, text, **limits)
-    label = f"case when x.action = 'removed' then '' when substring(`{text}`, x.s + 1, 1) rlike '[0-9]' then '[number]' when substring(`{text}`, x.s + 1, 1) rlike '\\\\p{{Lu}}' then '[name]' else '[word]' end"
+    rows = found(docs, text, **limits)
+    first = "substring(t, x.s + 1, 1)"
+    label = f"case when x.action = 'removed' then '' when {first} rlike '[0-9]' then '[number]' when {first} rlike '\\\\p{{Lu}}' then '[name]' else '[word]' end"
     flat = f"array_sort(concat(transform(base, x -> named_struct('s', x.s, 'e', x.e, 'r', concat('[', x.k, ']'))), transform(extra, x -> named_struct('s', x.s, 'e', x.e, 'r', {label}))))"
     kind = "array<struct<s:int,e:int,r:string>>"
     merged = f"""aggregate({flat}, named_struct('cur', cast(null as struct<s:int,e:int,r:string>), 'out', cast(array() as {kind})), (a, x) -> case
         when a.cur is null then named_struct('cur', x, 'out', a.out)
         when x.s < a.cur.e then named_struct('cur', named_struct('s', a.cur.s, 'e', greatest(a.cur.e, x.e), 'r', a.cur.r), 'out', a.out)
         else named_struct('cur', x, 'out', concat(a.out, array(a.cur))) end, a -> concat(a.out, array(a.cur)))"""
-    rows = rows.withColumn("_spans", F.expr(f"case when size(base) + size(extra) > 0 then {merged} else cast(array() as {kind}) end"))
-    pieces = f"transform(_spans, (x, i) -> concat(substring(`{text}`, if(i = 0, 0, get(_spans, i - 1).e) + 1, x.s - if(i = 0, 0, get(_spans, i - 1).e)), x.r))"
-    rows = rows.withColumn(text, F.expr(f"case when size(_spans) = 0 then `{text}` else concat(array_join({pieces}, ''), substring(`{text}`, element_at(_spans, -1).e + 1)) end"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("spans", F.expr(f"case when size(base) + size(extra) > 0 then {merged} else cast(array() as {kind}) end"))
+    pieces = "transform(spans, (x, i) -> concat(substring(t, if(i = 0, 0, get(spans, i - 1).e) + 1, x.s - if(i = 0, 0, get(spans, i - 1).e)), x.r))"
+    own = F.col("row").getField(text)
+    rows = rows.withColumn("clean", F.when(F.size("spans") == 0, own).otherwise(F.expr(f"concat(array_join({pieces}, ''), substring(t, element_at(spans, -1).e + 1))")))
+    new = {text: F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

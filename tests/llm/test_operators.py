@@ -88,9 +88,9 @@ def test_pii_whole_text(spark):
     rows = [(i, f"note {i} from a person and via mail", "s") for i in range(1000)] + [(2000, far, "s")]
     rows = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: [far[x.s : x.e] for x in r.extra] for r in pii.spans_of(rows).collect()}
-    assert got[2000] == ["Quuxley", "quuxley", "zorblax"] and not any(got[i] for i in range(1000))
+    assert got[2000] == ["Quuxley", "é", "quuxley", "zorblax"] and not any(got[i] for i in range(1000))
     clean = {r.doc_id: r.text for r in pii.sanitise(rows).collect()}
-    assert clean[2000] == "[name] via [email] " + "note from a person " * 20 + "é [word] and [word]"
+    assert clean[2000] == "[name] via [email] " + "note from a person " * 20 + "[word] [word] and [word]"
 
 
 @pytest.mark.parametrize("kind, pattern", [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")])
