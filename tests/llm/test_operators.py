@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from maskmix.llm import bpe, media, mixing, neardup, pii, quality, toxicity, urls
+from maskmix.llm import bpe, mixing, neardup, pii, quality, toxicity, urls
 from maskmix.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string"
@@ -132,20 +132,6 @@ def test_bpe(docs, empty):
     assert own.encode("ab" * 5000 + "the" * 5000) == other.encode_ordinary("ab" * 5000 + "the" * 5000)
 
 
-def test_media(docs, empty):
-    for t in (None, "", "a", "é" * 3000):
-        payload, n = media.padded(t)
-        s = media.parse(media.write(payload))
-        assert s.payload == payload and n == len((t or "").encode()) and s.vbr == "exact" and s.checked == s.frames and s.samples == 1152 * s.frames
-    whole = media.write(media.padded("x" * 5000)[0])
-    hurt = media.parse(b"\xff\xfa\x00junk" + whole[28:700] + b"??" + whole[700:])
-    assert hurt.resyncs >= 1 and hurt.vbr == "wrong"
-    flipped = bytearray(whole)
-    flipped[whole.index(b"\xff\xfa") + 8] ^= 1
-    assert media.parse(bytes(flipped)).damaged == 1 and media.parse(b"").frames == 0
-    assert media.store(docs.withColumn("media", F.lit(1))).count() == 10 and media.store(empty).count() == 0
-
-
 def test_urls(spark):
     found = {r.u: r for r in urls.judge(spark.createDataFrame([(u,) for u in ("https://A.Example.NET/en/1?x#y", "http://net/", "http://a.net", "http://x.org/fr/a", "nothing", None, "http://my-spam.com/", "http://b.example.com/de/", "http://c.com/a.net/en/", "http://é.net/ü")], "u string"), "u").collect()}
     v = {u: (r.host, r.path, r.rule, r.verdict) for u, r in found.items()}
