@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from maskmix.llm import bpe, mixing, neardup, pii, quality
-from maskmix.llm.common import documents, save
+from maskmix.llm.common import discard, documents, save
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +37,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix_sources", mix_sources), ("tokens", tokens)]
-#: Near-duplicate classes and merges are not expressible in SQL; the tests hold the result against brute force.
+#: Merges of byte pairs are not expressible in SQL; the tests hold the result against a brute-force pipeline.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's table is deleted when the next one's is written."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir))
+        before, docs = docs, save(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
