@@ -9,7 +9,7 @@ entity is taken at the lower end of its Wilson interval, so that few texts prove
 count once, so that copies of one document prove nothing.
 
 All counts are partial aggregates over (entity, term) or term; nothing is grouped by document but its own spans. Rows
-without base spans pass through; only those with some, by the digest of their text, meet the spans.
+without base spans pass through; only those with some, by the hash of their text, meet the spans.
 
 Defined cases: null text is empty and holds nothing; repeated rows get the same spans; the result has one row
 per input row; an empty table gives no rows; other columns are carried along, whatever their names, but ``find_base``
@@ -43,6 +43,8 @@ VALID = {
 #: A term is a run of letters or digits, short ones too.
 TERM = r"[\p{L}\p{N}]++"
 HITS = "array<struct<s:int,m:string>>"
+#: See ``disclosures``.
+FREQUENT = 100
 #: Standard deviations of the Wilson interval (95 %).
 Z = 1.96
 
@@ -104,7 +106,7 @@ def term_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
 
 
 def disclosures(held: DataFrame, docs: DataFrame, text: str = "text", generalise_at: float = 0.75, remove_at: float = 0.9) -> DataFrame:
-    """``h, term, action`` for the terms of the texts in ``held`` (h, t, entities; h is the text's digest) that disclose
+    """``h, term, action`` for the terms of the texts in ``held`` (h, t, entities; h is the text's hash) that disclose
     too much of one of their entities."""
     entities = held.select("h", F.explode("entities").alias("entity")).distinct()
     numbers = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
@@ -115,8 +117,13 @@ def disclosures(held: DataFrame, docs: DataFrame, text: str = "text", generalise
     most = entities.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("most"))
     # The bound is at most n_entity / n_term, so a term in more texts than this cannot reach generalise_at.
     reach = lambda n: F.pow(n, F.lit(generalise_at)) * F.pow("n_all", F.lit(1 - generalise_at)) * 1.000001
-    rare = terms.join(F.broadcast(total)).join(F.broadcast(most)).where(F.col("n_term") <= reach(F.col("most"))).drop("most")  # one row each
-    words = held.select("h", F.explode(term_set("t")).alias("term")).distinct().join(rare, "term")
+    terms = terms.join(F.broadcast(total)).join(F.broadcast(most))  # one row each
+    rare = terms.where(F.col("n_term") <= reach(F.col("most"))).drop("most")
+    # Terms of more than a FREQUENT-th of the texts, of which there are fewer than FREQUENT times a text's terms, go first.
+    frequent = terms.where((F.col("n_term") > reach(F.col("most"))) & (F.col("n_term") * FREQUENT > F.col("n_all"))).select("term")
+    words = held.select("h", F.explode(term_set("t")).alias("term")).join(F.broadcast(frequent), "term", "left_anti").distinct()
+    # Exploded rows look small to the planner, which must not broadcast them.
+    words = words.hint("merge").join(rare, "term")
     pairs = save(words.join(entities, "h").where(F.col("n_term") <= reach(F.col("n_entity"))))
     rows = pairs.groupBy("entity", "term", "n_entity", "n_term", "n_all").agg(F.count(F.lit(1)).alias("n_both"))
     content = F.log2(F.col("n_all") / F.col("n_entity"))
@@ -137,10 +144,10 @@ def positions(held: DataFrame) -> DataFrame:
 def found(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """``row, t, base, extra``: the packed row, its text (null as empty), and its spans."""
     rows = packed(docs, t=F.coalesce(F.col(text), F.lit(""))).withColumn("base", base_of())
-    own = save(rows.where(F.size("base") > 0).withColumn("h", F.md5("t")))
+    own = save(rows.where(F.size("base") > 0).withColumn("h", F.xxhash64("t")))
     held = save(own.select("h", "t", "base", F.array_distinct(F.transform("base", entity_of)).alias("entities")).dropDuplicates(["h"]))
     told = save(disclosures(held, docs, text, **limits))
-    spans = positions(held.join(told.select("h").distinct(), "h", "left_semi")).join(told, ["h", "term"])
+    spans = positions(held.join(told.select("h").distinct(), "h", "left_semi")).hint("merge").join(told, ["h", "term"])
     extra = spans.groupBy("h").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("k"), "s", "e", "action"))).alias("extra"))
     # Terms that touch a base span go with it.
     extra = save(extra.join(held.select("h", "base"), "h").select("h", F.expr("filter(extra, y -> not exists(base, z -> z.s < y.e and y.s < z.e))").alias("extra")))
