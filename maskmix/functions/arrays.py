@@ -50,15 +50,18 @@ def nonzero_steps(value: Column, width: int | None) -> Column:
 def fill_gaps(value: Column, valid: Column) -> Column:
     """Carry the last valid step forward, and the first one back over a leading gap.
 
-    One fold finds, for each step, the last valid index so far; without any valid step it is an error. An empty
-    value stays as it is.
+    Each valid step is repeated up to the next one, which takes time in proportion to the length; without any valid
+    step it is an error. An empty value stays as it is.
     """
 
     def fill(v: Column, m: Column) -> Column:
-        first = F.array_position(m, F.lit(True)).cast("int") - 1
-        carried = F.aggregate(m, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(x, F.size(acc)).when(F.size(acc) > 0, F.get(acc, F.size(acc) - 1)).otherwise(first))))
-        filled = F.transform(carried, lambda i: F.get(v, i))
-        return F.when(F.size(v) == 0, v).when(first < 0, F.raise_error(F.lit("no valid step to fill from"))).otherwise(filled)
+        def carried(at: Column) -> Column:
+            until = lambda j: F.coalesce(F.get(at, j + 1), F.size(m))
+            return F.flatten(F.transform(at, lambda i, j: F.array_repeat(F.get(v, i), until(j) - F.when(j == 0, F.lit(0)).otherwise(i))))
+
+        at = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i))
+        filled = let(at, lambda x: F.when(F.size(x) == 0, F.raise_error(F.lit("no valid step to fill from"))).otherwise(carried(x)))
+        return F.when(F.size(v) == 0, v).otherwise(filled)
 
     return let(F.struct(value.alias("v"), valid.alias("m")), lambda z: fill(z["v"], z["m"]))
 

@@ -10,10 +10,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskmix.functions import arrays as A
+from maskmix.operators.rank import rank_by_columns
 from maskmix.schema import TensorSpec, UnifiedSchema
 
 META = ("dataset_ix", "dataset", "subset", "key", "local_ix", "gix")
@@ -43,14 +43,11 @@ def resolve(spec: TensorSpec, columns: set[str], pad_features: bool = True, mask
 
 
 def with_index(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``local_ix`` by the order columns, which must be unique.
+    """``local_ix`` by the order columns, which must be unique; data that has it already is left as it is.
 
-    The window is over the order columns and is one sorted pass; give data that has a dense index already as
-    ``local_ix`` to skip it.
+    Large data is ranked by ranges of the order columns: one exchange, and no task for all rows.
     """
-    if "local_ix" in df.columns:
-        return df
-    return df.withColumn("local_ix", F.row_number().over(W.orderBy(*order)).cast("long") - 1)
+    return df if "local_ix" in df.columns else rank_by_columns(df, order, "local_ix")
 
 
 def unify(df: DataFrame, schema: UnifiedSchema, pad_features: bool = True) -> DataFrame:
@@ -64,21 +61,28 @@ def unify(df: DataFrame, schema: UnifiedSchema, pad_features: bool = True) -> Da
     return df.select(*out)
 
 
-def concatenate(datasets: Sequence[DataFrame], schema: UnifiedSchema, orders: Sequence[Sequence[str]], sizes: Sequence[int] | None = None, names: Sequence[str] | None = None, pad_features: bool = True) -> DataFrame:
+def concatenate(datasets: Sequence[DataFrame], schema: UnifiedSchema, orders: Sequence[Sequence[str]], sizes: Sequence[int] | None = None, names: Sequence[str] | None = None, pad_features: bool = True, index: bool = True) -> DataFrame:
     """All datasets as one relation, in order, with global indices.
 
-    ``sizes`` are counted if not given: one aggregate a dataset, of which only the count reaches the driver.
+    Offsets need the sizes of all datasets but the last; they are counted if not given, one aggregate a dataset, of
+    which only the count reaches the driver. Without ``index`` nothing is counted or ranked, and the rows have no
+    ``local_ix`` or ``gix``.
     """
-    sizes = list(sizes) if sizes is not None else [d.count() for d in datasets]
+    if index and sizes is None:
+        sizes = [d.count() for d in datasets[:-1]]
     parts, offset = [], 0
     for i, (df, order) in enumerate(zip(datasets, orders, strict=True)):
         name = names[i] if names else f"dataset_{i}"
-        df = with_index(df, order)
-        df = df.withColumns({"dataset_ix": F.lit(i), "dataset": F.coalesce(F.col("dataset").cast("string"), F.lit(name)) if "dataset" in df.columns else F.lit(name), "gix": F.col("local_ix") + F.lit(offset)})
+        if index:
+            df = with_index(df, order).withColumn("gix", F.col("local_ix") + F.lit(offset))
+        else:
+            df = df.drop("local_ix", "gix")
+        df = df.withColumns({"dataset_ix": F.lit(i), "dataset": F.coalesce(F.col("dataset").cast("string"), F.lit(name)) if "dataset" in df.columns else F.lit(name)})
         for c in ("subset", "key"):
             df = df.withColumn(c, F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string"))
         parts.append(unify(df, schema, pad_features))
-        offset += sizes[i]
+        if index and i + 1 < len(datasets):
+            offset += sizes[i]
     return reduce(DataFrame.unionByName, parts)
 
 
