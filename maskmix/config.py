@@ -6,13 +6,14 @@ import json
 import os
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskmix.operators import batch as B
 from maskmix.operators.transforms import Compose, build_transform
-from maskmix.operators.unify import concatenate, fetch, sequence_lengths
+from maskmix.operators.unify import concatenate, fetch, locate, sequence_lengths, with_index
 from maskmix.plans.strategies import STRATEGIES, ExhaustionPolicy, MixingStrategy, SubsampleConfig, bucket_batches, shard, shard_length
 from maskmix.schema import DatasetSchema, UnifiedSchema
 from maskmix.sources.factory import build_datasets
@@ -114,7 +115,7 @@ class RunConfig:
         return Loader(spark, datasets, schemas, orders or [["local_ix"]] * len(datasets), self.pad_features)
 
     def build_batches(self, spark: SparkSession, datasets=None, schemas=None, orders=None, training: bool = True, epoch: int = 0) -> DataFrame:
-        """Unified, transformed rows with ``pos, batch_id, slot``, collated as configured."""
+        """Unified, transformed rows with ``pos, batch_id, slot``, padded and mixed by batch as configured."""
         return self.batches_of(self.build_loader(spark, datasets, schemas, orders), training, epoch)
 
     def batches_of(self, loader: Loader, training: bool = True, epoch: int = 0) -> DataFrame:
@@ -127,20 +128,26 @@ class RunConfig:
                 plan = shard(plan, length, self.num_replicas, self.rank, self.drop_last)
                 plan = plan.withColumn("pos", F.floor(F.col("pos") / self.num_replicas).cast("long"))
                 length = shard_length(length, self.num_replicas, self.drop_last)
-            if self.bucketing:
-                args = dict(self.bucketing)
-                lengths = loader.lengths(args.pop("key"))
-                plan = bucket_batches(plan.join(lengths, "gix"), self.batch_size, drop_last=self.drop_last_batch, seed=self.seed, epoch=epoch, **args).drop("length")
-            else:
-                plan = B.fixed_batches(plan, self.batch_size, length, self.drop_last_batch)
-            rows = fetch(plan, loader.unified())
+            rows = plan
         else:
-            rows = B.fixed_batches(B.evaluation_order(loader.unified()), self.batch_size)
+            rows, length = B.evaluation_order(loader.index()), len(loader)
+        if self.bucketing:
+            options = {"batch_size": self.batch_size, "drop_last": training and self.drop_last_batch, "shuffle": training, "seed": self.seed, "epoch": epoch, **self.bucketing}
+            lengths = loader.lengths(options.pop("key"))
+            rows = bucket_batches(rows.join(lengths, "gix"), **options).drop("length")
+        else:
+            rows = B.fixed_batches(rows, self.batch_size, length, training and self.drop_last_batch)
+        rows = fetch(rows, loader.unified())
         transform = self.build_transform(loader.schema, training)
         if transform is not None:
             rows = transform(rows, training, self.seed, epoch)
         return self.collated(rows, loader.schema, training, epoch)
 
+    def build_collated(self, spark: SparkSession, datasets=None, schemas=None, orders=None, training: bool = True, epoch: int = 0) -> DataFrame:
+        """``build_batches``, with one row a batch: ``batch_id, batch_size`` and each column as the array of its samples' values."""
+        rows = self.build_batches(spark, datasets, schemas, orders, training, epoch)
+        return B.collate(rows, [c for c in rows.columns if c not in ("batch_id", "slot")])
+
     def collated(self, rows: DataFrame, schema: UnifiedSchema, training: bool, epoch: int) -> DataFrame:
         args = dict(self.collate)
         name = args.pop("name", "unified")
@@ -170,12 +177,21 @@ class Loader:
     def unified(self) -> DataFrame:
         return concatenate(self.datasets, self.schema, self.orders, self.sizes, self.names, self.pad_features)
 
-    def lengths(self, key: str) -> DataFrame:
-        """``gix, length`` of the raw values."""
-        from functools import reduce
+    def index(self) -> DataFrame:
+        """``gix`` of every sample."""
+        return self.spark.range(len(self)).select(F.col("id").alias("gix"))
 
-        from maskmix.operators.unify import with_index
+    def sample(self, gix: int, transform: Compose | None = None, training: bool = False, seed: int = 0, epoch: int = 0) -> dict:
+        """One sample by its global index (negative ones count from the end), transformed if asked."""
+        _, local = locate(gix, self.sizes)
+        at = gix + len(self) if gix < 0 else gix
+        rows = self.unified().where((F.col("gix") == at) & (F.col("local_ix") == local))
+        if transform is not None:
+            rows = transform(rows, training, seed, epoch)
+        return rows.first().asDict()
 
+    def lengths(self, key: str) -> DataFrame:
+        """``gix, length`` of the raw values."""
         parts, offset = [], 0
         for df, order, n in zip(self.datasets, self.orders, self.sizes, strict=True):
             df = with_index(df, order)
@@ -190,7 +206,6 @@ class Loader:
 
     def validate(self, num_samples: int | None = 4, strict: bool = False):
         from maskmix.operators.report import validate
-        from maskmix.operators.unify import with_index
 
         return validate([with_index(d, o) for d, o in zip(self.datasets, self.orders, strict=True)], self.schemas, num_samples, strict)
 

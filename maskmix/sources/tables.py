@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskmix.operators.unify import concatenate
+from maskmix.operators.unify import concatenate, with_index
 from maskmix.schema import DatasetSchema, TensorSpec, UnifiedSchema
 
 EVENT_TYPES = "etype"
@@ -28,33 +28,43 @@ def _sequence(df: DataFrame, by: str, order: Sequence[str], **values) -> DataFra
     return rows.select(by, *[F.col(f"r._{k}").alias(k) for k in values])
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str, index: bool = False) -> DataFrame:
+    """A dataset's raw rows; with ``index`` they have ``local_ix``, ranked on the narrow table before the sequences join."""
     table = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    ranked = lambda df: with_index(df, [ORDERS[name]]) if index else df
     if name == "orders":
         step = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
         lines = _sequence(table("lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"], lines=step)
-        orders = table("orders").select("o_orderkey", F.col("o_totalprice").alias("total"), (F.substring("o_orderpriority", 1, 1).cast("long") - 1).alias("priority"))
+        orders = ranked(table("orders").select("o_orderkey", F.col("o_totalprice").alias("total"), (F.substring("o_orderpriority", 1, 1).cast("long") - 1).alias("priority")))
         return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").drop("l_orderkey")
     if name == "users":
         events = table("events")
         kinds = events.select("event_type").distinct().agg(F.sort_array(F.collect_set("event_type")).alias("kinds"))  # one row, a few names
         events = events.join(F.broadcast(kinds))
-        return _sequence(events, "user_id", ["ts", "event_id"], values=F.col("value"), etype=(F.array_position("kinds", F.col("event_type")) - 1))
+        return ranked(_sequence(events, "user_id", ["ts", "event_id"], values=F.col("value"), etype=(F.array_position("kinds", F.col("event_type")) - 1)))
     if name == "vectors":
-        return table("embeddings").select("vec_id", F.col("embedding").alias("emb"), F.col("label").cast("long").alias("label"))
+        return ranked(table("embeddings").select("vec_id", F.col("embedding").alias("emb"), F.col("label").cast("long").alias("label")))
     if name == "docs":
         labels = table("labels").select("doc_id", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
-        return table("documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars")).join(labels, "doc_id", "left")
+        return ranked(table("documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))).join(labels, "doc_id", "left")
     if name == "chats":
-        return _sequence(table("conversations"), "conv_id", ["turn"], turn_len=F.length("text").cast("double"))
+        return ranked(_sequence(table("conversations"), "conv_id", ["turn"], turn_len=F.length("text").cast("double")))
     raise ValueError(f"unknown dataset {name!r}")
 
 
+def size(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Samples of a dataset, from its narrowest table."""
+    source, key = {"orders": ("orders", None), "users": ("events", "user_id"), "vectors": ("embeddings", None), "docs": ("documents", None), "chats": ("conversations", "conv_id")}[name]
+    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    return rows.select(key).distinct().count() if key else rows.count()
+
+
 def union_schema(*names: str) -> UnifiedSchema:
     return UnifiedSchema([SCHEMAS[n] for n in names])
 
 
-def unified(spark: SparkSession, sf_dir: str, *names: str, pad_features: bool = True) -> tuple[DataFrame, UnifiedSchema]:
+def unified(spark: SparkSession, sf_dir: str, *names: str, pad_features: bool = True, index: bool = True) -> tuple[DataFrame, UnifiedSchema]:
     schema = union_schema(*names)
-    sets = [read(spark, sf_dir, n) for n in names]
-    return concatenate(sets, schema, [[ORDERS[n]] for n in names], names=names, pad_features=pad_features), schema
+    sets = [read(spark, sf_dir, n, index) for n in names]
+    sizes = [size(spark, sf_dir, n) for n in names[:-1]] if index else None
+    return concatenate(sets, schema, [[ORDERS[n]] for n in names], sizes, names, pad_features, index), schema
