@@ -17,7 +17,7 @@ from maskmix.operators.split import split
 from maskmix.operators.unify import unify, with_index
 from maskmix.plans import strategies as S
 from maskmix.schema import DatasetSchema, TensorSpec
-from maskmix.sources.tables import read, union_schema, unified
+from maskmix.sources.tables import read, size, union_schema, unified
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,7 +79,7 @@ def _six(sql: str) -> str:
     SELECT y.ds::INT AS dataset_ix, y.name AS dataset, z.key, coalesce(w.n, 0)::BIGINT AS n_valid, (y.size * z.width)::BIGINT AS n_total, {_six("coalesce(w.n, 0) / (y.size * z.width)::DOUBLE")} AS fraction FROM y CROSS JOIN z LEFT JOIN w ON w.ds = y.ds AND w.key = z.key""",
 )
 def _(spark, d):
-    rows, schema = unified(spark, d, "orders", "users", "vectors", "docs", "chats")
+    rows, schema = unified(spark, d, "orders", "users", "vectors", "docs", "chats", index=False)
     return report.valid_fractions(rows, schema).withColumn("fraction", F.round("fraction", 6))
 
 
@@ -135,7 +135,7 @@ def _(spark, d):
 
 @query("feature_stats", f"WITH {_D2} SELECT 'emb' AS key, j::INT AS channel, {_six('avg(x)')} AS mean, {_six('greatest(stddev_pop(x), 1e-6)')} AS std FROM x GROUP BY j")
 def _(spark, d):
-    rows, schema = unified(spark, d, "vectors")
+    rows, schema = unified(spark, d, "vectors", index=False)
     return stats.feature_stats(rows, schema).withColumns({"mean": _r("mean"), "std": _r("std")})
 
 
@@ -149,25 +149,25 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query("full_stats", f"WITH {_D0}, {_LINES}, {_D2} SELECT 'emb' AS key, j::INT AS channel, count(*) AS n, {_MEASURES} FROM x GROUP BY j UNION ALL SELECT 'lines', j::INT, count(*), {_MEASURES} FROM p GROUP BY j")
 def _(spark, d):
-    rows, schema = unified(spark, d, "orders", "vectors")
+    rows, schema = unified(spark, d, "orders", "vectors", index=False)
     return _rounded(stats.full_stats(rows, schema))
 
 
 @query("dataset_stats", f"WITH {_D0}, {_D3}, a AS (SELECT 'orders' AS dataset, 'total' AS key, total AS x FROM o UNION ALL SELECT 'docs', 'n_chars', n_chars FROM d) SELECT dataset, key, 0 AS channel, count(*) AS n, {_MEASURES} FROM a GROUP BY GROUPING SETS ((dataset, key), (key))")
 def _(spark, d):
-    rows, schema = unified(spark, d, "orders", "docs")
+    rows, schema = unified(spark, d, "orders", "docs", index=False)
     return _rounded(stats.dataset_stats(rows, schema, ["total", "n_chars"], union=True))
 
 
 @query("class_histogram_scalar", "SELECT c.cls, count(label) AS n FROM (SELECT unnest(range(12)) AS cls) c LEFT JOIN embeddings ON label = c.cls GROUP BY c.cls")
 def _(spark, d):
-    rows, schema = unified(spark, d, "vectors")
+    rows, schema = unified(spark, d, "vectors", index=False)
     return balance.class_histogram(rows, schema, "label", 12)
 
 
 @query("class_histogram_steps", f"WITH {_D1} SELECT cls::BIGINT AS cls, count(*) AS n FROM s WHERE m GROUP BY cls")
 def _(spark, d):
-    rows, schema = unified(spark, d, "users")
+    rows, schema = unified(spark, d, "users", index=False)
     return balance.class_histogram(rows, schema, "etype")
 
 
@@ -176,7 +176,7 @@ for _scheme, _raw in (("inverse", "1 / n::DOUBLE"), ("effective", "(1 - 0.999::D
 
     @query(f"loss_weights_{_scheme}", f"WITH {_COUNTS}, w AS (SELECT cls, n, {_raw} AS r FROM c) SELECT cls, n, {_six('r * count(*) OVER () / sum(r) OVER ()')} AS weight FROM w")
     def _(spark, d, scheme=_scheme):
-        rows, schema = unified(spark, d, "docs")
+        rows, schema = unified(spark, d, "docs", index=False)
         return balance.loss_weights(balance.class_histogram(rows, schema, "quality"), scheme).withColumn("weight", _r("weight"))
 
 
@@ -219,12 +219,12 @@ def _(spark, d):
     return _vector(X.InstanceNormalize(schema=schema)(rows))
 
 
-@query("instance_steps", f"WITH {_D0}, {_LINES} SELECT ix, i, j, round(CAST(CAST((x - avg(x) OVER w) / greatest(stddev_samp(x) OVER w, 1e-6) AS FLOAT) AS DOUBLE), 3) AS x FROM p WINDOW w AS (PARTITION BY ix, j) QUALIFY count(*) OVER w > 1")
+@query("instance_steps", f"WITH {_D0}, {_LINES} SELECT ix, i, j, CASE WHEN count(*) OVER w > 1 THEN round(CAST(CAST((x - avg(x) OVER w) / greatest(stddev_samp(x) OVER w, 1e-6) AS FLOAT) AS DOUBLE), 3) END AS x, count(*) OVER w = 1 AS undefined FROM p WINDOW w AS (PARTITION BY ix, j)")
 def _(spark, d):
     rows, schema = unified(spark, d, "orders")
-    rows = rows.where(F.size(F.filter("lines_mask", lambda m: m)) > 1)
     made = steps(X.InstanceNormalize(["lines"], schema=schema)(rows), "lines", "local_ix", width=4).where("m")
-    return made.select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round(F.col("x").cast("double"), 3).alias("x"))
+    x = F.col("x").cast("double")  # one step has no deviation: not a number
+    return made.select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.when(~F.isnan(x), F.round(x, 3)).alias("x"), F.isnan(x).alias("undefined"))
 
 
 for _fallback, _else in (("identity", "x"), ("union", "(x - 1000) / (500 + 1e-6::DOUBLE)")):
@@ -297,72 +297,90 @@ def _lerp(source: str, n_in: str, n_out: str) -> str:
     "time_warp",
     f"""WITH {_D1}, a AS (SELECT ix, {_draw('TimeWarp', chr(39) + 'gate' + chr(39))} < 0.5 AS g, greatest(1, round_even(64 * (0.8::DOUBLE + {_draw('TimeWarp', chr(39) + 'rate' + chr(39))} * (1.25::DOUBLE - 0.8::DOUBLE)), 0)::BIGINT) AS m FROM n),
     f AS (SELECT ix, i, v AS y FROM s), w1 AS {_lerp('f', '64', 'a.m')}, w2 AS {_lerp('w1', 'a.m', '64')}
-    SELECT s.ix, s.i, round(CASE WHEN a.g THEN w2.y ELSE s.v END + 0.00000314159::DOUBLE, 5) AS x, s.m FROM s JOIN a USING (ix) JOIN w2 ON w2.ix = s.ix AND w2.i = s.i""",
+    SELECT s.ix, s.i, floor(CASE WHEN a.g THEN w2.y ELSE s.v END * 1000 + 0.25::DOUBLE)::BIGINT AS milli, s.m FROM s JOIN a USING (ix) JOIN w2 ON w2.ix = s.ix AND w2.i = s.i""",
 )
 def _(spark, d):
     rows, schema = unified(spark, d, "users")
     made = steps(X.TimeWarp(keys=["values"], schema=schema)(rows), "values", "local_ix")
-    return made.select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), F.round(F.col("x") + 0.00000314159, 5).alias("x"), "m")  # the offset keeps exact halves from the rounding
+    return made.select(F.col("local_ix").alias("ix"), F.col("i").cast("long").alias("i"), F.floor(F.col("x") * 1000 + 0.25).cast("long").alias("milli"), "m")
+
+
+# Plans over the samples of users, vectors and chats, whose numbers both sides take from the tables.
 
+_PLANNED = ("users", "vectors", "chats")
+_SIZES = "(SELECT count(DISTINCT user_id) FROM events)", "(SELECT count(*) FROM embeddings)", "(SELECT count(DISTINCT conv_id) FROM conversations)"
+_Z = "z AS (SELECT ds, n, (sum(n) OVER (ORDER BY ds) - n)::BIGINT AS o FROM (" + " UNION ALL ".join(f"SELECT {i} AS ds, {n} AS n" for i, n in enumerate(_SIZES)) + "))"
 
-# Plans. Sizes are fixed, as plans depend on nothing else.
 
-_SIZES = (150, 500, 100)
+def _sizes(spark, d) -> list[int]:
+    return [size(spark, d, n) for n in _PLANNED]
 
 
-def _draws(counts, epoch: int = 0) -> str:
-    """Fresh draws of each dataset in SQL."""
-    parts, offset = [], 0
-    for i, (n, c) in enumerate(zip(_SIZES, counts, strict=True)):
-        parts.append(f"SELECT {i} AS ds, x + {offset} AS gix, tile * {n} + row_number() OVER (PARTITION BY tile ORDER BY md5(concat_ws(':', '{7 + i}', 'fresh:{epoch}', tile::VARCHAR, x::VARCHAR)), x) - 1 AS draw, {c} AS c FROM (SELECT unnest(range({-(-c // n)})) AS tile) CROSS JOIN (SELECT unnest(range({n})) AS x)")
-        offset += n
-    return "r AS (" + " UNION ALL ".join(parts) + "), p AS (SELECT * FROM r WHERE draw < c)"
+def _largest_remainders(weight: str, total: str) -> str:
+    """Counts by weight that add up to the total."""
+    quota = f"{weight} / sum({weight}) OVER () * ({total})"
+    return f"q AS (SELECT *, {quota} AS quota FROM z), k AS (SELECT ds, n, o, (floor(quota) + (row_number() OVER (ORDER BY quota - floor(quota) DESC, ds) <= ({total}) - sum(floor(quota)) OVER ())::INT)::BIGINT AS c FROM q)"
 
 
-def _plan_sql(counts, epoch: int = 0, order: str | None = None) -> str:
+def _plan_sql(counts: str, epoch: int = 0, order: str | None = None) -> str:
+    """A plan of fresh draws; ``counts`` defines k (ds, n, o, c)."""
     order = order or f"md5(concat_ws(':', '7', '{epoch}', 'order', ds::VARCHAR, draw::VARCHAR)), ds, draw"
-    return f"WITH {_draws(counts, epoch)} SELECT {epoch} AS epoch, row_number() OVER (ORDER BY {order}) - 1 AS pos, ds AS dataset_ix, gix FROM p"
+    return f"""WITH {_Z}, {counts}, g AS (SELECT ds, n, o, c, x, unnest(range((c + n - 1) // n)) AS tile FROM (SELECT *, unnest(range(n)) AS x FROM k)),
+    r AS (SELECT ds, c, x + o AS gix, tile * n + row_number() OVER (PARTITION BY ds, tile ORDER BY md5(concat_ws(':', (7 + ds)::VARCHAR, 'fresh:{epoch}', tile::VARCHAR, x::VARCHAR)), x) - 1 AS draw FROM g), p AS (SELECT ds, gix, draw FROM r WHERE draw < c)
+    SELECT {epoch} AS epoch, row_number() OVER (ORDER BY {order}) - 1 AS pos, ds AS dataset_ix, gix FROM p"""
 
 
+_ALL = "k AS (SELECT *, n AS c FROM z)"
 _EFFECTIVE = S.SubsampleConfig(effective_size=[None, 60, 230])
-for _name, _make, _epoch, _counts in (
-    ("plan_proportional", lambda: S.ProportionalStrategy(_SIZES, 7), 0, (150, 500, 100)),
-    ("plan_temperature", lambda: S.TemperatureStrategy(_SIZES, 2.0, 7), 1, (213, 389, 174)),
-    ("plan_annealed", lambda: S.AnnealedTemperatureStrategy(_SIZES, 5.0, 1.0, 5, 7), 2, (0, 0, 0)),
-    ("plan_fixed", lambda: S.FixedWeightStrategy(_SIZES, [1, 1, 2], 400, 7), 0, (100, 100, 200)),
-    ("plan_round_robin", lambda: S.RoundRobinStrategy(_SIZES, None, 7), 0, (100, 100, 100)),
-    ("effective_size", lambda: S.ProportionalStrategy(_SIZES, 7, _EFFECTIVE), 0, (150, 60, 230)),
+_TOTAL = "SELECT sum(n) FROM z"
+for _name, _make, _epoch, _counts, _order in (
+    ("plan_proportional", lambda z: S.ProportionalStrategy(z, 7), 0, _ALL, None),
+    ("plan_temperature", lambda z: S.TemperatureStrategy(z, 2.0, 7), 1, _largest_remainders("sqrt(n::DOUBLE)", _TOTAL), None),
+    # From 5 to 1 in five epochs: 3 in the third.
+    ("plan_annealed", lambda z: S.AnnealedTemperatureStrategy(z, 5.0, 1.0, 5, 7), 2, _largest_remainders("pow(n::DOUBLE, 1 / 3.0::DOUBLE)", _TOTAL), None),
+    ("plan_fixed", lambda z: S.FixedWeightStrategy(z, [1, 1, 2], 403, 7), 0, _largest_remainders("[1, 1, 2][ds + 1]::DOUBLE", "403"), None),
+    ("plan_round_robin", lambda z: S.RoundRobinStrategy(z, None, 7), 0, "k AS (SELECT *, min(n) OVER () AS c FROM z)", "draw, ds"),
+    ("effective_size", lambda z: S.ProportionalStrategy(z, 7, _EFFECTIVE), 0, "k AS (SELECT *, coalesce([NULL, 60, 230][ds + 1], n) AS c FROM z)", None),
 ):
-    _at = _make()
-    # The temperatures' counts by their definition: largest remainders of size ** (1 / temperature).
-    _counts = tuple(_at.counts(_epoch)) if _name in ("plan_temperature", "plan_annealed") else _counts
 
-    @query(_name, _plan_sql(_counts, _epoch, "draw, ds" if _at.interleaved else None))
+    @query(_name, _plan_sql(_counts, _epoch, _order))
     def _(spark, d, make=_make, epoch=_epoch):
-        return make().plan(spark, epoch)
+        return make(_sizes(spark, d)).plan(spark, epoch)
 
 
-_PERM = "SELECT x AS local_ix, row_number() OVER (ORDER BY md5(concat_ws(':', '3', '{0}', '{1}', x::VARCHAR)), x) - 1 AS r FROM (SELECT unnest(range(500)) AS x)"
+def _tiles_sql(stream: str, first: str, count: str) -> str:
+    """Draws ``first`` to ``first + count`` of the tiled permutations of the vectors."""
+    return f"""WITH z AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT n, x, unnest(range(1 + (({first}) + ({count})) // n)) AS tile FROM (SELECT n, unnest(range(n)) AS x FROM z)),
+    r AS (SELECT n, x, tile * n + row_number() OVER (PARTITION BY tile ORDER BY md5(concat_ws(':', '3', '{stream}', tile::VARCHAR, x::VARCHAR)), x) - 1 - ({first}) AS draw, {count} AS c FROM g)
+    SELECT x AS local_ix, draw FROM r WHERE draw >= 0 AND draw < c"""
 
 
-@query("draw_fresh", f"SELECT local_ix, r AS draw FROM ({_PERM.format('fresh:2', 0)}) WHERE r < 120")
+def _pool(spark, d, config: S.SubsampleConfig | None = None) -> S.IndexPool:
+    return S.IndexPool(spark, size(spark, d, "vectors"), 3, config)
+
+
+@query("draw_fresh", _tiles_sql("fresh:2", "0", "n // 4"))
 def _(spark, d):
-    return S.IndexPool(spark, 500, 3).draw(120, 2)
+    pool = _pool(spark, d)
+    return pool.draw(pool.size // 4, 2)
 
 
-@query("draw_oversample", " UNION ALL ".join(f"SELECT local_ix, r + {500 * t} AS draw FROM ({_PERM.format('fresh:0', t)}) WHERE r + {500 * t} < 1300" for t in range(3)))
+@query("draw_oversample", _tiles_sql("fresh:0", "0", "2 * n + n // 3"))
 def _(spark, d):
-    return S.IndexPool(spark, 500, 3).draw(1300, 0)
+    pool = _pool(spark, d)
+    return pool.draw(2 * pool.size + pool.size // 3, 0)
 
 
-@query("draw_exhaust", " UNION ALL ".join(f"SELECT local_ix, r + {500 * t} - 700 AS draw FROM ({_PERM.format('exhaust', t)}) WHERE r + {500 * t} BETWEEN 700 AND 1049" for t in (1, 2)))
+@query("draw_exhaust", _tiles_sql("exhaust", "n + n // 3", "n"))
 def _(spark, d):
-    return S.IndexPool(spark, 500, 3, S.SubsampleConfig(policy=S.ExhaustionPolicy.EXHAUST)).draw(350, 2, 700)
+    pool = _pool(spark, d, S.SubsampleConfig(policy=S.ExhaustionPolicy.EXHAUST))
+    return pool.draw(pool.size, 2, pool.size + pool.size // 3)
 
 
-@query("draw_replacement", f"SELECT floor({_u(chr(39) + '3' + chr(39), chr(39) + '1' + chr(39), chr(39) + 'replace' + chr(39), 'x::VARCHAR')} * 500)::BIGINT AS local_ix, x AS draw FROM (SELECT unnest(range(700)) AS x)")
+@query("draw_replacement", f"SELECT floor({_u(chr(39) + '3' + chr(39), chr(39) + '1' + chr(39), chr(39) + 'replace' + chr(39), 'x::VARCHAR')} * n)::BIGINT AS local_ix, x AS draw FROM (SELECT n, unnest(range(2 * n)) AS x FROM (SELECT count(*) AS n FROM embeddings))")
 def _(spark, d):
-    return S.IndexPool(spark, 500, 3, S.SubsampleConfig(replacement=True)).draw(700, 1)
+    pool = _pool(spark, d, S.SubsampleConfig(replacement=True))
+    return pool.draw(2 * pool.size, 1)
 
 
 def _label_weights(spark, d):
@@ -387,17 +405,20 @@ def _(spark, d):
     return S.IndexPool(spark, 0, 3, S.SubsampleConfig(replacement=True), _label_weights(spark, d)).draw(5000, 0)
 
 
-_BASE = _plan_sql((150, 500, 100))
+_BASE = _plan_sql(_ALL)
+_LENGTH = f"({' + '.join(_SIZES)})"
 
 
-@query("shard_wrap", f"WITH b AS ({_BASE}), w AS (SELECT * FROM b UNION ALL SELECT epoch, pos + 750, dataset_ix, gix FROM b WHERE pos < 6) SELECT epoch, pos, dataset_ix, gix FROM w WHERE pos % 7 = 2")
+@query("shard_wrap", f"WITH b AS ({_BASE}), w AS (SELECT * FROM b UNION ALL SELECT epoch, pos + {_LENGTH}, dataset_ix, gix FROM b WHERE pos < (7 - {_LENGTH} % 7) % 7) SELECT epoch, pos, dataset_ix, gix FROM w WHERE pos % 7 = 2")
 def _(spark, d):
-    return S.shard(S.make_plan(spark, _SIZES, seed=7), 750, 7, 2)
+    sizes = _sizes(spark, d)
+    return S.shard(S.make_plan(spark, sizes, seed=7), sum(sizes), 7, 2)
 
 
-@query("shard_drop", f"SELECT epoch, pos, dataset_ix, gix FROM ({_BASE}) WHERE pos < 749 AND pos % 7 = 2")
+@query("shard_drop", f"SELECT epoch, pos, dataset_ix, gix FROM ({_BASE}) WHERE pos < {_LENGTH} - {_LENGTH} % 7 AND pos % 7 = 2")
 def _(spark, d):
-    return S.shard(S.make_plan(spark, _SIZES, seed=7), 750, 7, 2, drop_last=True)
+    sizes = _sizes(spark, d)
+    return S.shard(S.make_plan(spark, sizes, seed=7), sum(sizes), 7, 2, drop_last=True)
 
 
 @query(
@@ -427,11 +448,15 @@ def _(spark, d):
 # Batches.
 
 
-@query("collate_dynamic_len", f"WITH {_D0}, a AS (SELECT ix, CASE WHEN n = 0 THEN 6 ELSE n END AS n, n AS v FROM c) SELECT ix, ix // 16 AS batch_id, max(n) OVER (PARTITION BY ix // 16) AS length, v AS n_valid FROM a")
+@query(
+    "collate_dynamic_len",
+    f"WITH {_D0}, a AS (SELECT c.ix, CASE WHEN n = 0 THEN 6 ELSE n END AS n, n AS v, coalesce(s, 0) AS s FROM c LEFT JOIN (SELECT o.ix, sum(l.q) AS s FROM o JOIN l ON l.l_orderkey = o.o_orderkey GROUP BY o.ix) USING (ix)) SELECT ix, ix // 16 AS batch_id, max(n) OVER (PARTITION BY ix // 16) AS length, v AS n_valid, {_six('s')} AS sum_quantity, 0::DOUBLE AS padding FROM a",
+)
 def _(spark, d):
     rows, schema = unified(spark, d, "orders", pad_features=False)
     made = batch.dynamic_padding(batch.fixed_batches(batch.evaluation_order(rows), 16), schema, ["lines"])
-    return made.select(F.col("local_ix").alias("ix"), "batch_id", F.size("lines").cast("long").alias("length"), F.size(F.filter("lines_mask", lambda m: m)).cast("long").alias("n_valid"))
+    add = lambda keep: F.aggregate(F.filter(F.arrays_zip(F.col("lines").alias("x"), F.col("lines_mask").alias("m")), lambda z: z["m"] == F.lit(keep)), F.lit(0.0), lambda a, z: a + F.abs(F.get(z["x"], F.lit(0))))
+    return made.select(F.col("local_ix").alias("ix"), "batch_id", F.size("lines").cast("long").alias("length"), F.size(F.filter("lines_mask", lambda m: m)).cast("long").alias("n_valid"), _r(add(True)).alias("sum_quantity"), add(False).alias("padding"))
 
 
 @query("collated_batches", "WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ix, label FROM embeddings) SELECT ix // 16 AS batch_id, count(*)::INT AS batch_size, string_agg(label, ',' ORDER BY ix) AS labels FROM v GROUP BY ix // 16")
@@ -483,7 +508,7 @@ def _(spark, d):
     SELECT dataset_ix, key, cls, count(*) AS n FROM a GROUP BY ALL""",
 )
 def _(spark, d):
-    rows, schema = unified(spark, d, "users", "vectors", "docs")
+    rows, schema = unified(spark, d, "users", "vectors", "docs", index=False)
     return report.class_distribution(rows, schema)
 
 
