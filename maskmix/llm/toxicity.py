@@ -11,8 +11,8 @@ numbers, travels as a broadcast.
 
 Defined cases: null or empty text has no words and gets the models' intercepts; labels without a document or
 with nulls are left out; without labels of both values a category's model is constant; repeated rows get equal
-scores; an empty table gives no rows. ``score`` carries unknown columns along and replaces columns named like
-its results.
+scores; an empty table gives no rows. ``score`` carries other columns along, whatever their names, and replaces
+columns named like its results.
 """
 
 from __future__ import annotations
@@ -155,11 +155,13 @@ def train(vectors, labels: np.ndarray) -> dict:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``text`` and the categories' labels of the sample. Only its ids, a bounded number, are broadcast."""
+    """``doc_id, text`` and the categories' labels of the sample. Only its ids, a bounded number, are broadcast; of the
+    texts that share an id, the first in order stands for it."""
     good = labels.dropna(subset=["doc_id", *[c for _, c, _ in CATEGORIES]]).dropDuplicates(["doc_id"])
     chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     named = [F.when(F.col(c) == v, 1).otherwise(0).alias(f"is_{name}") for name, c, v in CATEGORIES]
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", *named)), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", *named)), "doc_id")
+    return found.groupBy("doc_id", *[f"is_{name}" for name, _, _ in CATEGORIES]).agg(F.min("text").alias("text"))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
