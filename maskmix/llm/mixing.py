@@ -133,7 +133,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     parts = let(F.struct(F.split("t", WORD).alias("g"), F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w")), lambda p: F.array_join(F.transform(F.slice(p["w"], 1, F.col("copy.words").cast("int")), lambda w, k: F.concat(F.get(p["g"], k), w)), ""))
     rows = rows.withColumn("t", F.when(F.col("copy.words") < F.col("size"), parts).otherwise(F.col("t"))).withColumns({"at": F.col("copy.at"), "id": F.col("row").getField(id_col)})
     new = {text: F.col("t"), "n_chars": F.length("t").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return in_order(rows, "at", "id").select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+    # Only the result's columns travel, as one struct beside the position.
+    made = F.struct(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    rows = in_order(rows.select("at", "id", made.alias("row")), "at", "id")
+    return rows.select(*unpacked(rows))
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

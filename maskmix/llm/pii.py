@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskmix.llm.common import documents, packed, save, unpacked
+from maskmix.llm.common import discard, documents, packed, save, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each finds what the contract's pattern finds, leftmost first. A match starts at a run's start or where the
@@ -95,42 +95,42 @@ def entity_of(b: Column) -> Column:
     return F.concat(b["k"], F.lit(":"), F.when(b["k"].isin("card", "phone"), F.regexp_replace(b["m"], "[^0-9]", "")).otherwise(F.lower(b["m"])))
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``term, n_term`` and one row ``n_all``, both over different texts."""
-    texts = docs.select(F.xxhash64(F.col(text)).alias("x"), F.col(text).alias("t"))
-    copies = save(texts.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
-    # A text that occurs n times counts an n-th each time; texts travel at most once, if the copies are too many to broadcast.
-    rows = texts.join(copies.where(F.col("n") > 1), "x", "left")
-    words = rows.select(F.explode(term_set("t")).alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("share"))
-    return words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term")), copies.agg(F.count(F.lit(1)).alias("n_all"))
-
-
 def disclosures(held: DataFrame, docs: DataFrame, text: str = "text", generalise_at: float = 0.75, remove_at: float = 0.9) -> DataFrame:
     """``h, term, action`` for the terms of the texts in ``held`` (h, t, entities; h is the text's hash) that disclose
-    too much of one of their entities."""
+    too much of one of their entities; saved."""
     entities = held.select("h", F.explode("entities").alias("entity")).distinct()
     numbers = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # The entities of one text only all have the same terms and figures: one stands for all.
     alone = F.when(F.col("n_entity") == 1, F.concat(F.lit("text:"), F.col("h"))).otherwise(F.col("entity"))
     entities = save(entities.join(numbers, "entity").select("h", alone.alias("entity"), "n_entity").distinct())
-    terms, total = term_counts(docs, text)
-    most = entities.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("most"))
+
+    # Terms by the number of different texts: a text that occurs n times counts an n-th each time. The few texts that
+    # recur are a table of their own, so that the texts only travel if that one is too large to broadcast.
+    texts = docs.select(F.xxhash64(F.col(text)).alias("x"), F.col(text).alias("t"))
+    copies = save(texts.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+    again = save(copies.where("n > 1"))
+    n_all = copies.count()
+    terms = texts.join(again, "x", "left").select(F.explode(term_set("t")).alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("share"))
+    terms = terms.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
+
     # The bound is at most n_entity / n_term, so a term in more texts than this cannot reach generalise_at.
-    reach = lambda n: F.pow(n, F.lit(generalise_at)) * F.pow("n_all", F.lit(1 - generalise_at)) * 1.000001
-    terms = terms.join(F.broadcast(total)).join(F.broadcast(most))  # one row each
-    rare = terms.where(F.col("n_term") <= reach(F.col("most"))).drop("most")
+    reach = lambda n: F.pow(n, F.lit(generalise_at)) * F.lit(float(n_all) ** (1 - generalise_at) * 1.000001)
+    most = F.lit(entities.agg(F.coalesce(F.max("n_entity"), F.lit(0))).first()[0])
+    rare = terms.where(F.col("n_term") <= reach(most))
     # Terms of more than a FREQUENT-th of the texts, of which there are fewer than FREQUENT times a text's terms, go first.
-    frequent = terms.where((F.col("n_term") > reach(F.col("most"))) & (F.col("n_term") * FREQUENT > F.col("n_all"))).select("term")
+    frequent = terms.where((F.col("n_term") > reach(most)) & (F.col("n_term") * FREQUENT > n_all)).select("term")
     words = held.select("h", F.explode(term_set("t")).alias("term")).join(F.broadcast(frequent), "term", "left_anti").distinct()
     # Exploded rows look small to the planner, which must not broadcast them.
     words = words.hint("merge").join(rare, "term")
     pairs = save(words.join(entities, "h").where(F.col("n_term") <= reach(F.col("n_entity"))))
-    rows = pairs.groupBy("entity", "term", "n_entity", "n_term", "n_all").agg(F.count(F.lit(1)).alias("n_both"))
-    content = F.log2(F.col("n_all") / F.col("n_entity"))
+    rows = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
+    content = F.log2(F.lit(float(n_all)) / F.col("n_entity"))
     pmi = F.log2(lower_bound(F.col("n_both"), F.col("n_term"))) + content
     rows = rows.withColumn("disclosure", F.when(content > 0, pmi / F.greatest(content, F.lit(1e-9))).otherwise(F.lit(0.0)))
     rows = rows.where(F.col("disclosure") >= generalise_at).select("entity", "term", F.when(F.col("disclosure") >= remove_at, F.lit("removed")).otherwise(F.lit("generalised")).alias("action"))
-    return pairs.select("h", "entity", "term").join(rows, ["entity", "term"]).groupBy("h", "term").agg(F.max("action").alias("action"))
+    told = save(pairs.select("h", "entity", "term").join(rows, ["entity", "term"]).groupBy("h", "term").agg(F.max("action").alias("action")))
+    discard(entities, copies, again, pairs)
+    return told
 
 
 def positions(held: DataFrame) -> DataFrame:
@@ -146,12 +146,13 @@ def found(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     rows = packed(docs, t=F.coalesce(F.col(text), F.lit(""))).withColumn("base", base_of())
     own = save(rows.where(F.size("base") > 0).withColumn("h", F.xxhash64("t")))
     held = save(own.select("h", "t", "base", F.array_distinct(F.transform("base", entity_of)).alias("entities")).dropDuplicates(["h"]))
-    told = save(disclosures(held, docs, text, **limits))
+    told = disclosures(held, docs, text, **limits)
     spans = positions(held.join(told.select("h").distinct(), "h", "left_semi")).hint("merge").join(told, ["h", "term"])
     extra = spans.groupBy("h").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("k"), "s", "e", "action"))).alias("extra"))
     # Terms that touch a base span go with it.
     extra = save(extra.join(held.select("h", "base"), "h").select("h", F.expr("filter(extra, y -> not exists(base, z -> z.s < y.e and y.s < z.e))").alias("extra")))
     none = F.expr(f"cast(array() as {EXTRA})")
+    discard(held, told)
     own = own.join(extra, "h", "left").select("row", "t", "base", F.coalesce("extra", none).alias("extra"))
     return rows.where(F.size("base") == 0).select("row", "t", F.expr(f"cast(array() as {SPANS})").alias("base"), none.alias("extra")).union(own)
 
