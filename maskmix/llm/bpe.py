@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from maskmix.llm.common import documents
+from maskmix.llm.common import documents, save, small_batches
 
 CACHE_ENTRIES, CACHE_LENGTH = 200_000, 64
 
@@ -256,7 +256,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 
 
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``doc_id`` with the digests of a document's ids and of what they decode to."""
+    """``doc_id`` with the digests of a document's ids and of what they decode to; saved, as it runs in small batches."""
 
     def run(batches):
         tokenizer = load(path, pattern)
@@ -269,7 +269,9 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", text).mapInArrow(run, T.StructType([df.schema["doc_id"], *[T.StructField(c, k) for c, k in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]]))
+    schema = T.StructType([df.schema["doc_id"], *[T.StructField(c, k) for c, k in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]])
+    with small_batches(df.sparkSession):
+        return save(df.select("doc_id", text).mapInArrow(run, schema))
 
 
 def vocabulary() -> tuple[str, str]:

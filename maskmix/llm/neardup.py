@@ -293,7 +293,10 @@ def classified(docs: DataFrame, size: int, percent: int, id_col: str, text: str)
     out = rows.select("doc_id", "t", "n_shingles", "node").join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     alone = F.col("node").isNull() | F.col("doc_id").isNull()
-    return out.withColumn("kept", alone | ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("stays"))))
+    # The sketches are no longer needed: what is left are a few numbers a row.
+    out = save(out.withColumn("kept", alone | ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("stays")))))
+    discard(rows, nodes, roots)
+    return out
 
 
 def between(open_: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
