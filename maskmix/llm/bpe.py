@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from maskmix.llm.common import documents, save, small_batches
 
-CACHE_ENTRIES, CACHE_LENGTH = 200_000, 64
+#: Entries of a generation of a cache, characters of an entry, and texts whose chunks are learned together.
+CACHE_ENTRIES, CACHE_LENGTH, TOGETHER = 400_000, 64, 1000
 
 
 class Cache:
@@ -154,8 +155,8 @@ class Tokenizer:
             out.append(ids)
         return out
 
-    def _known(self, pieces) -> dict[str, tuple[int, ...]]:
-        """Ids of pre-tokens; those not remembered are merged together."""
+    def _known(self, pieces, keep=None) -> dict[str, tuple[int, ...]]:
+        """Ids of pre-tokens; those not remembered are merged together, and remembered (if in ``keep``)."""
         young, old, ranks = self.pieces.young, self.pieces.old, self.ranks
         found, new = {}, []
         for piece in pieces:
@@ -166,18 +167,24 @@ class Tokenizer:
                 new.append(piece)
             else:
                 found[piece] = ids
+        if not new:
+            return found
         for piece, ids in zip(new, self.merge([x.encode() for x in new]), strict=True):
             found[piece] = ids = tuple(ids)
-            if len(piece) <= CACHE_LENGTH:
+            if len(piece) <= CACHE_LENGTH and (keep is None or piece in keep):
                 self.pieces.put(piece, ids)
         return found
 
     def learn(self, texts: list[str]) -> None:
-        """Remember the chunks of these texts."""
+        """Remember the chunks of these texts, and the pieces of what stands before the first space."""
         new = set().union(*[x.split(" ")[1:] for x in texts])
-        new = [c for c in new.difference(self.chunks.young) if c not in self.chunks.old and len(c) <= CACHE_LENGTH and c and not c[0].isspace() and not c[-1].isspace()]
+        new = [c for c in new.difference(self.chunks.young) if c not in self.chunks.old and 0 < len(c) <= CACHE_LENGTH and not c[0].isspace() and not c[-1].isspace()]
         split = [self.split(" " + c) for c in new]
-        found = self._known({p for pieces in split for p in pieces})
+        # A chunk of one piece is remembered as a chunk, not as a piece too.
+        keep = {p for pieces in split if len(pieces) > 1 for p in pieces}
+        for x in texts:
+            keep.update(self.split(x[: x.find(" ")]) if " " in x else ())
+        found = self._known(keep.union([pieces[0] for pieces in split]), keep)
         for c, pieces in zip(new, split, strict=True):
             self.chunks.put(c, found[pieces[0]] if len(pieces) == 1 else tuple([i for p in pieces for i in found[p]]))
 
@@ -264,7 +271,7 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
         for batch in batches:
             rows = []
             texts = (x or "" for x in batch.column(1).to_pylist())
-            for ids in itertools.chain.from_iterable(map(tokenizer.encode_all, itertools.batched(texts, 500))):
+            for ids in itertools.chain.from_iterable(map(tokenizer.encode_all, itertools.batched(texts, TOGETHER))):
                 rows.append((len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(tokenizer.decode(ids)).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
