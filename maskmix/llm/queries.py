@@ -17,7 +17,7 @@ QUERIES = {
     "op10_mpeg_audio": media.op10_mpeg_audio,
 }
 
-#: The others are not expressible in SQL and are tested against brute force.
+#: The others are not expressible in SQL; tests/llm holds them against plain Python.
 ORACLES = {
     "op3_url_rules": urls.ORACLE,
     "op5_repeated_phrases": repeats.ORACLE,
