@@ -6,11 +6,13 @@
    first), and noted in a bitmap.
 2. Passages are confirmed: the windows of noted anchors go through the same exchange by their own hash, and those that
    occur in two documents are noted in a second bitmap. The bitmaps' size is bounded: more recurring hashes than they
-   have room for only make them let more through, never fewer.
+   have room for only make them let more through, never fewer. A hash is noted at two places while half of the bitmap
+   is enough for all, so that few others are let through.
 3. Automata are compiled from the confirmed passages, in shards by anchor: windows are compared by their words, words
    are numbered, and a passage is a string of letters, one a word, with the smallest document that holds its windows.
-   A shard is closed when it holds ``SHARD`` windows, so its memory does not grow with the input. An anchor with more
-   than a ``HOT``-th of all occurrences is dealt out by its windows.
+   A shard is closed when it holds ``SHARD`` windows, so its memory does not grow with the input; making an automaton
+   takes more time for each letter the larger it is, so shards are small. An anchor with more than a
+   ``HOT``-th of all occurrences is dealt out by its windows.
 4. All documents are streamed: each noted run of a text goes to the automaton of its anchor (no other automaton can
    match it, and text without a noted window matches none), and the automaton reports every window in it that
    starts in a smaller document. Hashes only choose what is streamed; the automata compare the words themselves.
@@ -48,7 +50,7 @@ SPAN = WINDOW - GRAM + 1
 #: The largest bitmap in bits (64 MB), and what a task holds before it passes it on.
 LARGEST, HELD_HASHES, HELD_PASSAGES = 29, 1_000_000, 100_000
 #: Windows of a shard; words that strings can number; share of the occurrences that makes an anchor hot.
-SHARD, LETTERS, HOT = 50_000, 0x10F000, 4096
+SHARD, LETTERS, HOT = 2_000, 0x10F000, 4096
 
 
 #: Bytes that are hashed at once, and the bases of the hashes.
@@ -224,24 +226,35 @@ def recurring(docs: DataFrame, slices: int, hashes) -> DataFrame:
     return save(rows.mapInArrow(_recurring, "slice int, kinds long, total long, h binary, n binary"))
 
 
-def bitmap_of(found: DataFrame, slices: int) -> tuple[np.ndarray, int]:
-    """Bits by the hashes' top bits; each slice is made where its hashes are."""
+def place(h: np.ndarray, bits: int, slices: int, probe: int) -> np.ndarray:
+    """Where a hash is noted: by its top bits, or in the same slice by the bits after them."""
+    at = (h >> np.uint64(64 - bits)).astype(np.int64)
+    if not probe:
+        return at
+    inner = bits - slices
+    return (at >> inner << inner) + ((h >> np.uint64(64 - bits - inner)).astype(np.int64) & (1 << inner) - 1)
+
+
+def bitmap_of(found: DataFrame, slices: int) -> tuple[np.ndarray, int, int, int]:
+    """The bitmap, its bits, slices and probes; each slice is made where its hashes are."""
     n = found.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     bits = min(LARGEST, max(slices + 6, (16 * n).bit_length()))
+    probes = 2 if 2 * n <= 1 << bits else 1  # a fuller bitmap lets less through with one
 
     def run(batches):
         for batch in batches:
             for slice_, h in zip(*[batch.column(c).to_pylist() for c in ("slice", "h")], strict=True):
-                at = (np.frombuffer(h, np.uint64) >> np.uint64(64 - bits)).astype(np.int64) - (slice_ << bits - slices)
+                h = np.frombuffer(h, np.uint64)
                 part = np.zeros(1 << bits - slices, bool)
-                part[at] = True
+                for probe in range(probes):
+                    part[place(h, bits, slices, probe) - (slice_ << bits - slices)] = True
                 yield pa.RecordBatch.from_arrays([pa.array([slice_], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())], ["slice", "bits"])
 
     out = np.zeros(1 << bits - 3, np.uint8)
     size = 1 << bits - slices - 3
     for r in found.mapInArrow(run, "slice int, bits binary").toLocalIterator():
         out[r.slice * size : (r.slice + 1) * size] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    return out, bits
+    return out, bits, slices, probes
 
 
 def hot_hashes(found: DataFrame, share: int = HOT) -> np.ndarray:
@@ -257,15 +270,20 @@ def hot_hashes(found: DataFrame, share: int = HOT) -> np.ndarray:
     return np.sort(np.array([r.h for r in found.mapInArrow(run, "h long").collect()], np.int64).view(np.uint64))
 
 
-def noted(h: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    at = h >> np.uint64(64 - bits)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+def noted(h: np.ndarray, bitmap: np.ndarray, bits: int, slices: int, probes: int) -> np.ndarray:
+    some = np.arange(len(h))
+    for probe in range(probes):
+        at = place(h[some], bits, slices, probe)
+        some = some[(bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
+    out = np.zeros(len(h), bool)
+    out[some] = True
+    return out
 
 
-def noted_windows(data, offsets, bitmap, bits):
+def noted_windows(data, offsets, anchor_bits):
     """Windows of a chunk's noted anchors: ``hash, row, anchor, piece, first word, base, starts, ends``."""
     h, row, first, last, base, starts, ends, words = anchors(data, offsets)
-    keep = np.flatnonzero(noted(h, bitmap, bits))
+    keep = np.flatnonzero(noted(h, *anchor_bits))
     window, piece, at = windows(words, first[keep], last[keep])
     return window, row[keep][piece], h[keep][piece], piece, at, base, starts, ends
 
@@ -286,7 +304,7 @@ def _passage_rows(batches, anchor_bits, window_bits, hot):
         batch = batch.filter(batch.column(0).is_valid())
         ids, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for top, data, offsets in chunks(batch.column(1)):
-            window, row, anchor, piece, at, base, starts, ends = noted_windows(data, offsets, *anchor_bits)
+            window, row, anchor, piece, at, base, starts, ends = noted_windows(data, offsets, anchor_bits)
             keep = np.flatnonzero(noted(window, *window_bits))
             if not len(keep):
                 continue
@@ -441,7 +459,7 @@ def reports(docs: DataFrame) -> DataFrame:
     by_anchor, hot = spark.sparkContext.broadcast(bitmap_of(found, slices)), hot_hashes(found)
 
     def of_windows(data, offsets):
-        h, row, *_ = noted_windows(data, offsets, *by_anchor.value)
+        h, row, *_ = noted_windows(data, offsets, by_anchor.value)
         return h, row
 
     by_window = spark.sparkContext.broadcast(bitmap_of(recurring(docs, slices, of_windows), slices))

@@ -89,6 +89,28 @@ def test_shards_and_many_words(monkeypatch):
     assert len(list(repeats._shards([batch]))) > 3 and all(m for m in repeats._shards([batch]))
 
 
+def test_full_bitmaps_let_little_through(spark, monkeypatch):
+    """A bitmap at its largest size notes all of its hashes, and few others."""
+    monkeypatch.setattr(repeats, "LARGEST", 18)
+    r = np.random.default_rng(3)
+    other = r.integers(0, 1 << 64, 50_000, np.uint64)
+    for n, share in ((20_000, 0.04), (400_000, 0.85)):
+        own = np.sort(r.integers(0, 1 << 64, n, np.uint64))
+        rows = [(k, len(h), len(h), h.tobytes(), np.ones(len(h), np.int64).tobytes()) for k in range(1 << 10) if len(h := own[own >> np.uint64(54) == k])]
+        bits = repeats.bitmap_of(spark.createDataFrame(rows, "slice int, kinds long, total long, h binary, n binary"), 10)
+        assert repeats.noted(own, *bits).all() and repeats.noted(other, *bits).mean() < share
+
+
+def test_automata_stay_small():
+    """Many different passages go to many automata: the larger one is, the more each of its letters costs."""
+    passages = [" ".join(f"w{k}_{i}" for i in range(16)).encode() for k in range(3000)]
+    one = [np.zeros(1, t).tobytes() for t in (np.int64, np.int64, np.int32)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(k, p, *one) for k, p in enumerate(passages)], strict=True)], ["anchor", "words", "docs", "rows", "starts"])
+    shards = list(repeats._shards([batch]))
+    assert sorted(p for s in shards for p in s) == sorted(passages)
+    assert max(sum(p.count(b" ") + 2 - repeats.WINDOW for p in s) for s in shards) < 4000
+
+
 def test_ids_must_be_whole_numbers(spark):
     with pytest.raises(ValueError):
         repeats.remove(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
