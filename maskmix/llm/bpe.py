@@ -5,7 +5,8 @@ rank; a three-level bitmap says which buckets hold something, and find-first-set
 rank in constant time. Inside a bucket positions leave from the left. Merging only unlinks and enqueues, and
 entries whose pair has changed are skipped when met, so a pre-token of n bytes costs O(n log n) whatever its
 length. Pre-tokens never merge with each other, so many short ones share one list and one queue; those seen
-before are remembered per worker in caches of bounded size.
+before are remembered per worker in caches of bounded size, until the worker has encoded nothing for a while: what
+runs next in the same worker shares its executor's memory.
 
 Defined cases: null text encodes like empty text, to no ids; ids that are null decode to no bytes; repeated rows
 are encoded alike; an empty table gives no rows; unknown columns are carried along, columns named like the
@@ -15,9 +16,13 @@ result are replaced.
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
+import gc
 import hashlib
 import itertools
+import threading
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,10 @@ from maskmix.llm.common import documents, save, small_batches
 
 #: Entries of a generation of a cache, characters of an entry, and texts whose chunks are learned together.
 CACHE_ENTRIES, CACHE_LENGTH, TOGETHER = 400_000, 64, 1000
+#: Pre-tokens that are merged at once: their linked list takes some hundred bytes a letter.
+MERGED = 20_000
+#: Seconds without work after which a worker gives back what its tokenizers hold.
+IDLE = 5.0
 
 
 class Cache:
@@ -169,15 +178,18 @@ class Tokenizer:
                 found[piece] = ids
         if not new:
             return found
-        for piece, ids in zip(new, self.merge([x.encode() for x in new]), strict=True):
-            found[piece] = ids = tuple(ids)
-            if len(piece) <= CACHE_LENGTH and (keep is None or piece in keep):
-                self.pieces.put(piece, ids)
+        for some in itertools.batched(new, MERGED):
+            for piece, ids in zip(some, self.merge([x.encode() for x in some]), strict=True):
+                found[piece] = ids = tuple(ids)
+                if len(piece) <= CACHE_LENGTH and (keep is None or piece in keep):
+                    self.pieces.put(piece, ids)
         return found
 
     def learn(self, texts: list[str]) -> None:
         """Remember the chunks of these texts, and the pieces of what stands before the first space."""
-        new = set().union(*[x.split(" ")[1:] for x in texts])
+        new: set[str] = set()
+        for x in texts:
+            new.update(x.split(" ")[1:])
         new = [c for c in new.difference(self.chunks.young) if c not in self.chunks.old and 0 < len(c) <= CACHE_LENGTH and not c[0].isspace() and not c[-1].isspace()]
         split = [self.split(" " + c) for c in new]
         # A chunk of one piece is remembered as a chunk, not as a piece too.
@@ -236,45 +248,72 @@ def load(path: str, pattern: str) -> Tokenizer:
         return Tokenizer({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
 
+_waiting: list[threading.Timer] = []
+
+
+def forget() -> None:
+    """Give back the memory of this process's tokenizers; one that is in use stays until its user is done."""
+    load.cache_clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@contextmanager
+def lent(path: str, pattern: str):
+    """The worker's tokenizer. It waits ``IDLE`` seconds for the next task, then ``forget`` drops it."""
+    while _waiting:
+        _waiting.pop().cancel()
+    try:
+        yield load(path, pattern)
+    finally:
+        timer = threading.Timer(IDLE, forget)
+        timer.daemon = True
+        _waiting.append(timer)
+        timer.start()
+
+
 def _replaced(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
-def _map(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, source: str, each) -> DataFrame:
+def _map(df: DataFrame, path: str, pattern: str, name: str, kind: T.DataType, arrow: pa.DataType, source: str, each) -> DataFrame:
     schema = _replaced(df.schema, name, kind)
 
     def run(batches):
-        for batch in batches:
-            made = pa.array(each(batch.column(source).to_pylist()), arrow)
-            keep = [c for c in batch.schema.names if c != name]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], made], [*keep, name])
+        with lent(path, pattern) as tokenizer:
+            for batch in batches:
+                made = pa.array(each(tokenizer, batch.column(source).to_pylist()), arrow)
+                keep = [c for c in batch.schema.names if c != name]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], made], [*keep, name])
 
     return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` plus ``ids``."""
-    return _map(df, ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), text, lambda column: load(path, pattern).encode_all([x or "" for x in column]))
+    return _map(df, path, pattern, ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), text, lambda tokenizer, column: tokenizer.encode_all([x or "" for x in column]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` plus ``decoded``, as bytes."""
-    return _map(df, out, T.BinaryType(), pa.binary(), ids, lambda column: [load(path, pattern).decode(x or ()) for x in column])
+    return _map(df, path, pattern, out, T.BinaryType(), pa.binary(), ids, lambda tokenizer, column: [tokenizer.decode(x or ()) for x in column])
 
 
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``doc_id`` with the digests of a document's ids and of what they decode to; saved, as it runs in small batches."""
 
     def run(batches):
-        tokenizer = load(path, pattern)
-        names = tokenizer.names
-        for batch in batches:
-            rows = []
-            texts = (x or "" for x in batch.column(1).to_pylist())
-            for ids in itertools.chain.from_iterable(map(tokenizer.encode_all, itertools.batched(texts, TOGETHER))):
-                rows.append((len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(tokenizer.decode(ids)).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with lent(path, pattern) as tokenizer:
+            names = tokenizer.names
+            for batch in batches:
+                rows = []
+                texts = (x or "" for x in batch.column(1).to_pylist())
+                for ids in itertools.chain.from_iterable(map(tokenizer.encode_all, itertools.batched(texts, TOGETHER))):
+                    rows.append((len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(tokenizer.decode(ids)).hexdigest()))
+                cols = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([df.schema["doc_id"], *[T.StructField(c, k) for c, k in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]])
     with small_batches(df.sparkSession):

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import base_spans, disclosing, good, measures, sanitised, shares
 from pyspark.sql import functions as F
@@ -175,6 +177,24 @@ def test_token_digests(docs, rows, encoding):
     assert Counter(tuple(r) for r in got) == Counter((r[0], *digests(r[1], encoding)) for r in rows)
 
 
+def test_idle_workers_give_tokenizers_back(docs):
+    bpe.digests(docs, *bpe.vocabulary())
+    time.sleep(bpe.IDLE + 3)
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe.load.cache_info().currsize], pa.int64())], ["n"])
+
+    assert {r.n for r in docs.select("doc_id").repartition(4).mapInArrow(left, "n long").collect()} == {0}
+
+
+def test_slices_encode_alike(rows, encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "MERGED", 3)
+    bpe.load.cache_clear()
+    texts = [r[1] or "" for r in rows]
+    assert bpe.load(*bpe.vocabulary()).encode_all(texts) == [encoding.encode_ordinary(x) for x in texts]
+
+
 def test_pipeline_equals_plain_python(spark, rows, encoding, tmp_path):
     import corpus_pipeline
 
