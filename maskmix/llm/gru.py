@@ -96,37 +96,43 @@ def lanes(sequences: list[np.ndarray], count: int = LANES):
     return targets, np.array(loads), places
 
 
+def _blocks(x: np.ndarray) -> np.ndarray:
+    """(rows, 3 hidden) as (3, rows, hidden)."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
+
+
 def _forward(p: dict, x: np.ndarray, h: np.ndarray, keep: bool):
     """States after each input of a window; with ``keep`` also what the backward pass needs."""
     steps, b = x.shape
     n = h.shape[1]
-    # The gates are 1 / (1 + exp(-a)): their inputs come with the sign already turned.
+    # The gates are 1 / (1 + exp(-a)): their inputs come with the sign already turned. Each gate is a block of its
+    # own, so that what runs over a gate's values runs over one piece of memory.
     turn = np.where(np.arange(3 * n) < 2 * n, np.float32(-1), np.float32(1))
-    table, U = (p["E"] + p["b"]) * turn, p["U"] * turn
-    gates = table[x]
+    table, U = _blocks((p["E"] + p["b"]) * turn), _blocks(p["U"] * turn)
+    gates = [t[x] for t in table]
     open_ = (x != END).astype(np.float32)[:, :, None]
     states, kept = np.empty((steps, b, n), np.float32), []
-    a, zr, d = np.empty((b, 3 * n), np.float32), np.empty((b, 2 * n), np.float32), np.empty((b, n), np.float32)
+    a, zr, d = np.empty((3, b, n), np.float32), np.empty((2, b, n), np.float32), np.empty((b, n), np.float32)
     for t in range(steps):
         if keep:
             a, zr, d = np.empty_like(a), np.empty_like(zr), np.empty_like(d)
         h0 = h * open_[t]
         np.matmul(h0, U, out=a)
-        g = gates[t]
-        np.add(a[:, : 2 * n], g[:, : 2 * n], out=zr)
+        z, r = zr
+        np.add(a[0], gates[0][t], out=z)
+        np.add(a[1], gates[1][t], out=r)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :n], zr[:, n:]
-        np.multiply(r, a[:, 2 * n :], out=d)
-        d += g[:, 2 * n :]
+        np.multiply(r, a[2], out=d)
+        d += gates[2][t]
         np.tanh(d, out=d)
         h = states[t]
         np.subtract(h0, d, out=h)
         h *= z
         h += d
         if keep:
-            kept.append((h0, a[:, 2 * n :], z, r, d))
+            kept.append((h0, a[2], z, r, d))
     return states, h, open_, kept
 
 
@@ -250,14 +256,14 @@ class Trainer:
         states, last, open_, kept = _forward(p, x, h, True)
         g, back = Output(p).gradients(states.reshape(-1, n), y.ravel())
         dh_out = back.reshape(steps, b, n)
-        dg = np.empty((steps, b, 3 * n), np.float32)
-        dU = np.zeros_like(p["U"])
-        dh, turned = np.zeros((b, n), np.float32), np.ascontiguousarray(p["U"].T)
-        da, w = np.empty((b, 3 * n), np.float32), np.empty((b, n), np.float32)
+        dg = np.empty((3, steps, b, n), np.float32)
+        dU = np.zeros((3, n, n), np.float32)
+        dh, turned = np.zeros((b, n), np.float32), np.ascontiguousarray(_blocks(p["U"]).transpose(0, 2, 1))
+        da, w, part = np.empty((b, n), np.float32), np.empty((b, n), np.float32), np.empty((b, n), np.float32)
         for t in range(steps - 1, -1, -1):
             h0, an, z, r, c = kept[t]
             dh += dh_out[t]
-            dz, dr, dc = dg[t, :, :n], dg[t, :, n : 2 * n], dg[t, :, 2 * n :]
+            dz, dr, dc = dg[:, t]
             np.subtract(1, z, out=w)
             # dz = dh (h0 - c) z (1 - z)
             np.subtract(h0, c, out=dz)
@@ -270,22 +276,23 @@ class Trainer:
             np.subtract(1, dc, out=dc)
             dc *= w
             # dr = dc a r (1 - r)
-            np.multiply(dc, r, out=da[:, 2 * n :])
+            np.multiply(dc, r, out=da)
             np.subtract(1, r, out=dr)
-            dr *= da[:, 2 * n :]
+            dr *= da
             dr *= an
-            da[:, : 2 * n] = dg[t, :, : 2 * n]
-            dU += h0.T @ da
             dh *= z
-            dh += da @ turned
+            for k, d in enumerate((dz, dr, da)):
+                dU[k] += h0.T @ d
+                dh += np.matmul(d, turned[k], out=part)
             dh *= open_[t]
-        flat_dg = dg.reshape(-1, 3 * n)
+        flat_dg = dg.reshape(3, -1, n)
         # Sum the gates' gradients by input class: sort once, then add runs.
         order = np.argsort(x.ravel(), kind="stable")
         names, starts = np.unique(x.ravel()[order], return_index=True)
         g["E"] = np.zeros_like(p["E"])
-        g["E"][names] = np.add.reduceat(flat_dg[order], starts, axis=0)
-        g["b"], g["U"] = g["E"].sum(axis=0), dU
+        for k, d in enumerate(flat_dg):
+            g["E"][names, k * n : (k + 1) * n] = np.add.reduceat(d[order], starts, axis=0)
+        g["b"], g["U"] = g["E"].sum(axis=0), dU.transpose(1, 0, 2).reshape(n, 3 * n)
         return g, last
 
     def learn(self, sequences: list[np.ndarray], count: int = LANES) -> None:

@@ -164,3 +164,9 @@ def test_settings():
     # The settings whose quality the README states; a faster network has to be measured anew.
     p = gru.fresh(lm.OWN, lm.SHARED)
     assert p["U"].shape == (16, 48) and p["W"].shape == (16, 128) and p["V"].shape == (40, 16, 32) and (gru.WINDOW, gru.LANES) == (24, 512)
+
+
+def test_gates_lie_in_one_piece_each():
+    p = gru.fresh(5, 1, hidden=4)
+    for kept in gru._forward(p, np.ones((3, 6), np.uint8), np.zeros((6, 4), np.float32), True)[3]:
+        assert all(x.flags.c_contiguous and x.shape == (6, 4) for x in kept)
