@@ -1,5 +1,6 @@
 """Operators on samples, against hand-computed values."""
 
+import bisect
 import json
 import math
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskmix.config import RunConfig, template_path
 from maskmix.functions import arrays as A
-from maskmix.operators import balance, batch, report, stats
+from maskmix.operators import balance, batch, rank, report, stats
 from maskmix.operators import transforms as X
 from maskmix.operators.split import split
 from maskmix.operators.unify import concatenate, locate, unify
@@ -211,6 +212,21 @@ def test_mixup_query_leaves_out_a_batch_of_one_like_its_sql(spark, tmp_path):
     assert sorted(r.ix for r in catalog.QUERIES["mixup"](spark, str(tmp_path)).collect()) == list(range(32))
 
 
+def test_rows_find_their_range_by_halving(spark):
+    keys = [0, *range(3, 600, 5), 700, 700, 10**9]
+    rows = spark.createDataFrame([(k, k % 7) for k in keys], "k long, r int")
+    for cuts in ([], [5], [3, 3, 8], list(range(-1, 699, 3))):
+        got = rank.cut_at(rows, F.col("k"), [F.lit(c) for c in cuts], "n")
+        assert all(r.n == bisect.bisect_right(cuts, r.k) for r in got.collect())
+        # Steps of the search grow with the logarithm of the cuts, one projection each.
+        assert got._jdf.queryExecution().analyzed().toString().count("CASE WHEN") == len(cuts).bit_length()
+    pairs = [(k, k % 3) for k in range(0, 600, 4)]
+    got = rank.cut_at(rows, F.struct("k", "r"), [F.struct(F.lit(a).cast("long"), F.lit(b)) for a, b in pairs], "n")
+    assert all(r.n == bisect.bisect_right(pairs, (r.k, r.r)) for r in got.collect())
+    ranked = rank.rank_by_columns(rows.dropDuplicates(), ["k"], small=10).collect()
+    assert [r.k for r in sorted(ranked, key=lambda r: r["rank"])] == sorted(set(keys))
+
+
 def test_sources_config_and_report(spark, tmp_path):
     for i in range(3):
         d = tmp_path / "npy" / f"sample_{i:02d}"
