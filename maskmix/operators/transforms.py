@@ -109,7 +109,7 @@ def instance_expression(spec: TensorSpec, eps: float, single: str = "nan") -> Co
     """The value scaled by its own valid positions: per channel over steps, or over a vector's elements.
 
     One position has no deviation: NaN, or ``eps`` with ``single="eps"``. The per-channel moments are bound
-    once a row.
+    once a row, with the deviation as it divides.
     """
     value, mask = F.col(spec.name), F.col(f"{spec.name}_mask")
 
@@ -117,12 +117,11 @@ def instance_expression(spec: TensorSpec, eps: float, single: str = "nan") -> Co
         def deviation(v: Column) -> Column:
             n = F.size(v)
             mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-            return A.let(mean, lambda m: F.struct(m.alias("m"), F.when(n > 1, F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / (n - 1))).otherwise(F.lit(float("nan") if single == "nan" else 0.0)).alias("s")))
+            return A.let(mean, lambda m: F.struct(m.alias("m"), F.when(n > 1, F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / (n - 1)), F.lit(eps))).otherwise(F.lit(float("nan") if single == "nan" else eps)).alias("s")))
 
         return A.let(xs, deviation)
 
-    floor = lambda s: F.when(F.isnan(s), s).otherwise(F.greatest(s, F.lit(eps)))
-    scaled = lambda x, p: ((x - p["m"]) / floor(p["s"])).cast("float")
+    scaled = lambda x, p: ((x - p["m"]) / p["s"]).cast("float")
     if not spec.is_sequence:
         if not spec.width:
             one = (value.cast("double") - value.cast("double")) / (F.lit(float("nan")) if single == "nan" else F.lit(eps))
@@ -132,7 +131,7 @@ def instance_expression(spec: TensorSpec, eps: float, single: str = "nan") -> Co
     kind = "array<array<float>>" if spec.width else "array<float>"
     if spec.width:
         channels = A.let(steps, lambda s: F.transform(F.sequence(F.lit(0), F.lit(spec.width - 1)), lambda j: moments(F.transform(s, lambda x: F.get(x, j).cast("double")))))
-        out = A.let(channels, lambda c: F.zip_with(value, mask, lambda s, m: F.transform(s, lambda x, j: F.when(m, scaled(x.cast("double"), F.get(c, j))).otherwise(x.cast("float")))))
+        out = A.let(channels, lambda c: F.zip_with(value, mask, lambda s, m: F.when(m, F.zip_with(s, c, lambda x, p: scaled(x.cast("double"), p))).otherwise(s.cast("array<float>"))))
     else:
         out = A.let(moments(F.transform(steps, lambda x: x.cast("double"))), lambda p: F.zip_with(value, mask, lambda x, m: F.when(m, scaled(x.cast("double"), p)).otherwise(x.cast("float"))))
     return F.when(F.exists(mask, lambda m: m), out).otherwise(value.cast(kind))

@@ -158,6 +158,20 @@ def test_stats_and_normalizers(spark, tmp_path):
         X.PerDatasetNormalize({}, schema, "union")
 
 
+def test_instance_moments_are_bound_as_they_divide(spark):
+    schema = UnifiedSchema([DatasetSchema((TensorSpec("x", feature_dim=2, time_dim=3, dtype="float64"),))])
+    raw = from_tensors(spark, {"x": [[[1.0, 5.0], [3.0, 5.0]], [[2.0, 7.0]], [[float("nan"), 1.0], [0.0, 3.0]]]})
+    rows = concatenate([raw], schema, [["local_ix"]])
+    got = {single: X.InstanceNormalize(["x"], schema=schema, single=single)(rows) for single in ("nan", "eps")}
+    # No element tests its deviation again.
+    assert all("isnan" not in df._jdf.queryExecution().analyzed().toString().lower() for df in got.values())
+    nan, eps = ([r.x for r in got[s].orderBy("gix").collect()] for s in ("nan", "eps"))
+    root = math.sqrt(0.5)
+    assert np.allclose(nan[0], [[-root, 0], [root, 0], [0, 0]]) and np.allclose(eps[0], nan[0])
+    assert np.isnan(nan[1][0]).all() and eps[1] == [[0, 0]] * 3 and nan[1][1:] == [[0, 0]] * 2
+    assert math.isnan(nan[2][0][0]) and math.isnan(nan[2][1][0]) and np.allclose([nan[2][0][1], nan[2][1][1]], [-root, root])
+
+
 def test_random_transforms(spark):
     schema = UnifiedSchema([DatasetSchema((TensorSpec("f", feature_dim=3, time_dim=10),), (TensorSpec("t", time_dim=10, placeholder=-1),))])
     raw = from_tensors(spark, {"f": [[[3.0 * t + 1, 3.0 * t + 2, 3.0 * t + 3] for t in range(8)]] * 20, "t": [[float(t) for t in range(8)]] * 20})
