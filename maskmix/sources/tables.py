@@ -23,9 +23,13 @@ ORDERS = {"orders": "o_orderkey", "users": "user_id", "vectors": "vec_id", "docs
 
 
 def _sequence(df: DataFrame, by: str, order: Sequence[str], **values) -> DataFrame:
-    """Arrays by key, in the order of unique columns; one aggregate."""
-    rows = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*order, *[v.alias(f"_{k}") for k, v in values.items()]))).alias("r"))
-    return rows.select(by, *[F.col(f"r._{k}").alias(k) for k in values])
+    """Arrays by key, in the order of unique columns; one aggregate.
+
+    A value is a column, or a function of a step's order columns, which then travel once.
+    """
+    carried = [v.alias(f"_{k}") for k, v in values.items() if not callable(v)]
+    rows = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*order, *carried))).alias("r"))
+    return rows.select(by, *[(F.transform("r", v) if callable(v) else F.col(f"r._{k}")).alias(k) for k, v in values.items()])
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, index: bool = False) -> DataFrame:
@@ -33,7 +37,7 @@ def read(spark: SparkSession, sf_dir: str, name: str, index: bool = False) -> Da
     table = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     ranked = lambda df: with_index(df, [ORDERS[name]]) if index else df
     if name == "orders":
-        step = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+        step = lambda r: F.array(*[r[c].cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
         lines = _sequence(table("lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"], lines=step)
         orders = ranked(table("orders").select("o_orderkey", F.col("o_totalprice").alias("total"), (F.substring("o_orderpriority", 1, 1).cast("long") - 1).alias("priority")))
         return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").drop("l_orderkey")

@@ -19,6 +19,7 @@ from maskmix.plans import strategies as S
 from maskmix.schema import DatasetSchema, TensorSpec, UnifiedSchema, resolve_dtype
 from maskmix.sources.factory import build_dataset, from_tensors, schema_from_dict
 from maskmix.sources.npy import read_npy
+from maskmix.sources.tables import read
 
 A_ = DatasetSchema((TensorSpec("video", feature_dim=2, time_dim=3),), (TensorSpec("valence", time_dim=3, placeholder=-5.0),))
 B_ = DatasetSchema((TensorSpec("audio", feature_dim=2, time_dim=3),), (TensorSpec("sentiment", placeholder=-5.0),))
@@ -172,6 +173,18 @@ def test_instance_moments_are_bound_as_they_divide(spark):
     assert math.isnan(nan[2][0][0]) and math.isnan(nan[2][1][0]) and np.allclose([nan[2][0][1], nan[2][1][1]], [-root, root])
 
 
+def test_order_columns_of_a_sequence_travel_once(spark):
+    lines = read(spark, "/root/testdata/sf0.001", "orders").select("o_orderkey", "lines")
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(" in plan and "AS _lines" not in plan
+    got = {r.o_orderkey: r.lines for r in lines.collect()}
+    names = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+    want: dict = {}
+    for r in sorted(tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", *names).collect()):
+        want.setdefault(r[0], []).append([float(v) for v in (r[6], r[5], r[7], r[8])])
+    assert all(v == want.get(k) for k, v in got.items()) and set(want) <= set(got)
+
+
 def test_random_transforms(spark):
     schema = UnifiedSchema([DatasetSchema((TensorSpec("f", feature_dim=3, time_dim=10),), (TensorSpec("t", time_dim=10, placeholder=-1),))])
     raw = from_tensors(spark, {"f": [[[3.0 * t + 1, 3.0 * t + 2, 3.0 * t + 3] for t in range(8)]] * 20, "t": [[float(t) for t in range(8)]] * 20})
