@@ -159,6 +159,40 @@ def test_stats_and_normalizers(spark, tmp_path):
         X.PerDatasetNormalize({}, schema, "union")
 
 
+def test_exact_quartiles_are_narrowed_down(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    draws = np.random.default_rng(5)
+    groups = {
+        "one": [3.5], "two": [2.0, 7.0], "constant": [50000.1] * 9, "none": [None, None], "some": [None, 1.0, 4.0, None, 9.0, 11.0],
+        "signs": [-3.0, -0.0, 0.0, 0.0, 2.0, -1e-300, 5e-324], "wide": [*(10.0 ** draws.uniform(-300, 300, 400)), *(-(10.0 ** draws.uniform(-9, 9, 300)))],
+        "narrow": list(1e9 + draws.integers(0, 50000, 700) / 1e3), "outlier": [*draws.normal(size=500), 1e200], "hot": [*[7.0] * 500, *draws.normal(size=100)],
+        "nans": [nan, 1.0, 2.0, nan, nan], "ends": [-inf, -2.0, 0.0, 2.0, inf],
+    }
+    rows = spark.createDataFrame([(i % 2, k, 0, float(x) if x is not None else None) for k, xs in groups.items() for i, x in enumerate(xs)], "d int, key string, channel int, x double")
+    quartile = F.percentile("x", F.array(*map(F.lit, stats.QUARTILES)))
+    said = rows.groupBy("key").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), quartile.alias("q"))
+    want = {r.key: r for r in said.collect()}
+    same = lambda a, b, rel=1e-12: (a is None and b is None) or (a is not None and b is not None and (a == b or math.isnan(a) and math.isnan(b) or a == pytest.approx(b, rel=rel)))
+    for factor, cell in ((stats.PER_FACTOR, stats.PER_CELL), (0, 1), (1, 3)):
+        monkeypatch.setattr(stats, "PER_FACTOR", factor)
+        monkeypatch.setattr(stats, "PER_CELL", cell)
+        for union, by in ((False, ["key", "channel"]), (True, ["d", "key", "channel"])):
+            made = stats._measured(rows, by, 1e-6, "eps", None, union)
+            got = {r.key: r for r in made.collect() if not union or r.d is None}
+            assert set(got) == set(groups)
+            for k, r in got.items():
+                w = want[k]
+                assert r.n == w.n and all(same(r[f], w[f]) for f in ("min", "max")) and (k == "wide" or same(r.mean, w["mean"])), k
+                assert same(r["median"], None if w.q is None else w.q[1]) and same(r.iqr, 1e-6 if w.q is None else w.q[2] - w.q[0] if math.isnan(w.q[2] - w.q[0]) else max(w.q[2] - w.q[0], 1e-6)), k
+                assert k == "wide" or same(r.std, max(w.std, 1e-6) if w.std is not None and not math.isnan(w.std) else (w.std or 1e-6), 1e-9), k
+    schema = UnifiedSchema([DatasetSchema((TensorSpec("v", feature_dim=1),))])
+    v = concatenate([from_tensors(spark, {"v": [[2.0], [4.0], [5.0], [9.0]]})], schema, [["local_ix"]])
+    for df in (stats.full_stats(v, schema), stats.dataset_stats(v, schema, union=True)):
+        # No aggregate holds the values of a whole group.
+        assert "percentile" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert {(r.n, r["median"], r.iqr) for r in df.collect()} == {(4, 4.5, 2.5)}
+
+
 def test_instance_moments_are_bound_as_they_divide(spark):
     schema = UnifiedSchema([DatasetSchema((TensorSpec("x", feature_dim=2, time_dim=3, dtype="float64"),))])
     raw = from_tensors(spark, {"x": [[[1.0, 5.0], [3.0, 5.0]], [[2.0, 7.0]], [[float("nan"), 1.0], [0.0, 3.0]]]})
